@@ -209,7 +209,7 @@ def running_levels(
         "us",
         "seq",
         *[
-            (F.col(m) + F.coalesce(F.col(f"_carry_{m}"), F.lit(0))).alias(m)
+            (F.coalesce(F.col(m), F.lit(0)) + F.coalesce(F.col(f"_carry_{m}"), F.lit(0))).alias(m)
             for m in measures
         ],
         "_keep",
