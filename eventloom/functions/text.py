@@ -25,8 +25,17 @@ def lowered(column: Column) -> Column:
     return F.lower(F.coalesce(column, F.lit("")))
 
 
+def _any_word(text: Column, words, test) -> Column:
+    """Does the test hold for any word? The text is bound first, so that it is computed once
+    however long the list; short lists are plain ORs, long ones stay small in generated code."""
+    if len(words) <= 6:
+        return any_of(test(text, F.lit(w)) for w in words)
+    listed = F.array(*[F.lit(w) for w in words])
+    return F.exists(F.array(text), lambda t: F.exists(listed, lambda w: test(t, w)))
+
+
 def contains_any(text: Column, words) -> Column:
-    return any_of(text.contains(F.lit(w)) for w in words)
+    return _any_word(text, words, F.contains)
 
 
 def contains_all(text: Column, words) -> Column:
@@ -34,15 +43,17 @@ def contains_all(text: Column, words) -> Column:
 
 
 def ends_with_any(text: Column, suffixes) -> Column:
-    return any_of(F.endswith(text, F.lit(s)) for s in suffixes)
+    return _any_word(text, suffixes, F.endswith)
 
 
 def starts_with_any(text: Column, prefixes) -> Column:
-    return any_of(F.startswith(text, F.lit(p)) for p in prefixes)
+    return _any_word(text, prefixes, F.startswith)
 
 
 def _matches(text: Column, words) -> Column:
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    listed = F.array(*[F.lit(w) for w in words])
+    found = F.transform(F.array(text), lambda t: F.filter(listed, lambda w: F.contains(t, w)))
+    return F.get(found, F.lit(0))
 
 
 def first_match(text: Column, words) -> Column:

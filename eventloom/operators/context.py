@@ -65,54 +65,61 @@ def unpack_seq(packed: Column) -> Column:
 # --- deltas ----------------------------------------------------------------------------
 
 
-def sweep_rows(
-    keys: Mapping[str, Column],
-    member: Column,
-    emit: Column,
-    measures: Mapping[str, Column],
-    window_us: int,
-    keep: Mapping[str, Column],
-    probe_only: bool = False,
-) -> Column:
-    """The sweep rows of one event, as an array of structs to be inlined.
-
-    ``member`` events raise the measures for the length of the window; ``emit`` events read
-    the level. The kept columns travel only on the row that is read.
-    """
-    member = F.coalesce(member, F.lit(False))
-    emit = F.coalesce(emit, F.lit(False))
-    us, seq = F.col("us"), F.col("seq")
-    kept = F.struct(*[c.alias(n) for n, c in keep.items()]) if keep else F.struct(F.lit(1).alias("_"))
+def sweep(
+    rows: DataFrame, keys: Sequence[str], measures: Sequence[str], window_us: Column
+) -> DataFrame:
+    """Rows of a sweep from event rows with ``us``, ``seq``, ``_member``, ``_emit``, ``_probe``
+    and ``_keep``: a member raises its measures on arrival and lowers them after it has left
+    the window; a row that is only read raises nothing. What is kept travels once."""
+    us, member = F.col("us"), F.col("_member")
 
-    def row(at, late, probe, emits, sign, payload):
+    def step(at, late, measure):
         return F.struct(
-            *[c.alias(n) for n, c in keys.items()],
-            at.alias("us"),
-            seq.alias("seq"),
-            F.lit(late).alias("_late"),
-            F.lit(probe).alias("_probe"),
-            emits.alias("_emit"),
-            *[sign(c).alias(n) for n, c in measures.items()],
-            payload.alias("_keep"),
+            at.alias("us"), F.lit(late).alias("_late"), *[measure(F.col(m)).alias(m) for m in measures]
         )
 
-    def raised(c):
-        zero = F.lit(0).cast("bigint")
-        return zero if probe_only else F.when(member, c).otherwise(zero)
+    def while_member(value):
+        return F.when(member, value).otherwise(value - value)
 
-    arrival = row(us, 1, int(probe_only), emit, raised, F.when(emit, kept))
-    if probe_only:
-        return F.when(emit, F.array(arrival)).otherwise(F.array())
-    departure = row(
-        us + F.lit(window_us + 1), 0, 0, F.lit(False), lambda c: -c, F.when(F.lit(False), kept)
-    )
-    return (
-        F.when(member, F.array(arrival, departure))
-        .when(emit, F.array(arrival))
-        .otherwise(F.array())
+    arrival = step(us, 1, while_member)
+    departure = step(us + window_us + F.lit(1), 0, lambda value: -value)
+    steps = F.when(member, F.array(arrival, departure)).otherwise(F.array(arrival))
+    is_arrival = F.col("_step._late") == 1
+    return rows.select(*keys, "seq", "_probe", "_emit", "_keep", F.explode_outer(steps).alias("_step")).select(
+        *keys,
+        "_step.us",
+        "seq",
+        "_step._late",
+        "_probe",
+        (F.col("_emit") & is_arrival).alias("_emit"),
+        *[F.col(f"_step.{m}").alias(m) for m in measures],
+        F.when(is_arrival & F.col("_emit"), F.col("_keep")).alias("_keep"),
     )
 
 
+def event_rows(
+    df: DataFrame,
+    keys: Mapping[str, Column],
+    member: Column,
+    emit: Column,
+    measures: Mapping[str, Column],
+    keep: Sequence[str],
+    probe: bool = False,
+) -> DataFrame:
+    """The event rows of a sweep: those that are members or are read."""
+    kept = F.struct(*keep) if keep else F.struct(F.lit(1).alias("_"))
+    return df.select(
+        *[c.alias(n) for n, c in keys.items()],
+        "us",
+        "seq",
+        F.coalesce(member, F.lit(False)).alias("_member"),
+        F.coalesce(emit, F.lit(False)).alias("_emit"),
+        F.lit(int(probe)).alias("_probe"),
+        *[c.alias(n) for n, c in measures.items()],
+        kept.alias("_keep"),
+    ).where("_member or _emit")
+
+
 def presence_deltas(
     members: DataFrame,
     keys: Sequence[str],
@@ -159,7 +166,7 @@ def presence_deltas(
 
     return edges.select(
         *keys,
-        F.inline(
+        F.inline_outer(
             F.array_compact(
                 F.array(
                     F.when(F.col("_opens"), edge(F.col("_first_us"), 1, 1)),
@@ -167,7 +174,7 @@ def presence_deltas(
                 )
             )
         ),
-    )
+    ).where("us is not null")
 
 
 def running_levels(
@@ -251,19 +258,10 @@ def trailing_sum(
     """
     window_us = window_micros(window_secs)
     key_columns = _key_columns(keys)
-    rows = df.select(
-        F.inline(
-            sweep_rows(
-                key_columns,
-                _true(member) & value.isNotNull() & _no_null_key(keys),
-                _true(emit),
-                {out: value},
-                window_us,
-                {c: F.col(c) for c in keep},
-            )
-        )
-    )
-    levels = running_levels(rows, list(key_columns), [out], slice_micros(window_us, slice_secs))
+    counts = _true(member) & value.isNotNull() & _no_null_key(keys)
+    rows = event_rows(df, key_columns, counts, _true(emit), {out: value}, keep)
+    deltas = sweep(rows, list(key_columns), [out], F.lit(window_us))
+    levels = running_levels(deltas, list(key_columns), [out], slice_micros(window_us, slice_secs))
     return levels.select(*keys, "us", "seq", *[F.col("_keep")[c].alias(c) for c in keep], out)
 
 
@@ -291,14 +289,9 @@ def trailing_distinct(
     members = df.where(_true(member) & _no_null_key(keys)).select(
         *[c.alias(k) for k, c in key_columns.items()], "us", "seq", value.alias("_value")
     )
-    probes = df.where(_true(emit)).select(
-        F.inline(
-            sweep_rows(
-                key_columns, F.lit(False), F.lit(True), {out: F.lit(0)}, window_us,
-                {c: F.col(c) for c in keep}, probe_only=True,
-            )
-        )
-    )
+    nothing = {out: F.lit(0).cast("bigint")}
+    rows = event_rows(df, key_columns, F.lit(False), _true(emit), nothing, keep, probe=True)
+    probes = sweep(rows, list(key_columns), [out], F.lit(window_us))
     edges = presence_deltas(members, list(key_columns), "_value", out, window_us, slice_us)
     deltas = probes.unionByName(edges, allowMissingColumns=True)
     levels = running_levels(deltas, list(key_columns), [out], slice_us)

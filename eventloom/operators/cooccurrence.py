@@ -83,11 +83,9 @@ def co_occurrence(
     facts = events.where(first | second).select(
         *keys,
         slice_of(us, slice_us).alias("_slice"),
-        F.explode(
-            F.array_compact(F.array(F.when(first, F.lit("p")), F.when(second, F.lit("n"))))
-        ).alias("kind"),
+        F.explode(F.array(F.when(first, F.lit("p")), F.when(second, F.lit("n")))).alias("kind"),
         F.struct(_point(us, seq).alias("at"), kept.alias("kept")).alias("fact"),
-    )
+    ).where("kind is not null")
     cuts = (
         events.where(trigger)
         .select(

@@ -523,17 +523,20 @@ def level_rules() -> list[Rule]:
 
 def _find_lateral(events: DataFrame, window_secs: float, by: tuple[str, ...] = ()) -> DataFrame:
     is_shell = of_type("process_creation") & contains_any(lowered(F.col("cmd")), V.POWERSHELL_NAMES)
-    is_net, is_service = of_type("network_connection"), of_type("service_installation")
-    narrow = events.where(is_shell | is_net | is_service).select(
-        "event_id", "seq", "us", "event_type", "host",
-        F.when(is_service, F.col("service_name")).alias("service_name"),
-        F.when(is_shell, F.col("cmd")).alias("cmd"),
-        F.when(is_net, F.col("dst_ip")).alias("dst_ip"),
-        F.when(is_net, F.col("dst_port")).alias("dst_port"),
+    part = (
+        F.when(is_shell, "shell")
+        .when(of_type("network_connection"), "net")
+        .when(of_type("service_installation"), "service")
     )
+    types = of_type("process_creation", "network_connection", "service_installation")
+    fields = ["event_id", "host", "service_name", "cmd", "dst_ip", "dst_port"]
+    narrow = events.where(types).select("seq", "us", *fields, part.alias("part"))
+
+    def is_(name):
+        return F.col("part") == name
+
     found = co_occurrence(
-        narrow, window_secs, trigger=is_service, first=is_shell, second=is_net, by=by,
-        keep=["event_id", "host", "service_name", "cmd", "dst_ip", "dst_port"],
+        narrow, window_secs, trigger=is_("service"), first=is_("shell"), second=is_("net"), by=by, keep=fields
     )
     shell, net = F.col("first_event"), F.col("second_event")
     return found.select(

@@ -4,6 +4,10 @@
 * all level rules: one sweep, whatever their keys and measures, because the rule number is
   part of the key;
 * frame rules: one plan each.
+
+Arrays are exploded in their outer form and nulls dropped afterwards. The plain form would
+make the optimizer infer a "not empty" filter and push it below the projection, which
+evaluates every rule twice.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import DEFAULT_WINDOW_SECS
 from ..functions.text import lowered
-from ..operators.context import presence_deltas, running_levels, slice_micros, sweep_rows, window_micros
+from ..operators.context import presence_deltas, running_levels, slice_micros, sweep, window_micros
 from ..schema import DETECTION_COLUMNS, severity_weight
 from .builtin import builtin_rules
 from .rules import FrameRule, LevelRule, Rule, RuleSet, StatelessRule
@@ -89,9 +93,12 @@ def stateless_detections(events: DataFrame, rules: Sequence[StatelessRule]) -> D
     ]
     hits = F.flatten(F.array_compact(F.array(*parts)))
     prepared = _only(events, _types(rules)).withColumn("_cmd", lowered(F.col("cmd")))
-    found = prepared.select(
-        "seq", "us", "host", F.array("event_id").alias("event_ids"), F.explode(hits).alias("_hit")
-    ).select("seq", "us", "host", "event_ids", "_hit.*")
+    found = (
+        prepared.select("seq", "us", "host", "event_id", hits.alias("_hits"))
+        .select("seq", "us", "host", "event_id", F.explode_outer("_hits").alias("_hit"))
+        .where("_hit is not null")
+        .select("seq", "us", "host", F.array("event_id").alias("event_ids"), "_hit.*")
+    )
     return _fired(rules, found, F.col("_rule"))
 
 
@@ -114,28 +121,40 @@ def level_detections(
 
     slice_us = slice_micros(max(window_us(r) for r in rules), slice_secs)
     events = _only(events, _types(rules))
-    rows = []
+    # Conditions first, each computed once; then one struct per rule that applies.
+    flags = {}
     for index, rule in enumerate(rules):
         present = _keys_present(rule)
-        rows.append(
-            sweep_rows(
-                _key_struct(index, rule),
-                rule.member & present,
-                rule.trigger if rule.null_key else rule.trigger & present,
-                {
-                    "_n": F.lit(int(rule.measure != "sum")).cast("bigint"),
-                    "_amount": (rule.value if rule.measure == "sum" else F.lit(0)).cast(AMOUNT),
-                },
-                window_us(rule),
-                {
-                    "event_id": F.col("event_id"),
-                    "host": F.col("host"),
-                    "carry": F.array(*[c.cast("string") for c in rule.carry.values()]),
-                },
-                probe_only=rule.measure in ("distinct", "present"),
-            )
+        counted = rule.measure in ("count", "sum")
+        flags[f"_m{index}"] = F.coalesce(rule.member & present, F.lit(False)) if counted else F.lit(False)
+        flags[f"_e{index}"] = F.coalesce(
+            rule.trigger if rule.null_key else rule.trigger & present, F.lit(False)
+        )
+    flagged = events.withColumns(flags)
+
+    rows = []
+    for index, rule in enumerate(rules):
+        member, emit = F.col(f"_m{index}"), F.col(f"_e{index}")
+        carried = F.array(*[c.cast("string") for c in rule.carry.values()])
+        row = F.struct(
+            *[c.alias(n) for n, c in _key_struct(index, rule).items()],
+            member.alias("_member"),
+            emit.alias("_emit"),
+            F.lit(int(rule.measure in ("distinct", "present"))).alias("_probe"),
+            F.lit(window_us(rule)).cast("bigint").alias("_window"),
+            F.lit(int(rule.measure != "sum")).cast("bigint").alias("_n"),
+            (rule.value if rule.measure == "sum" else F.lit(0)).cast(AMOUNT).alias("_amount"),
+            F.when(emit, carried).alias("_carry"),
         )
-    deltas = events.select(F.inline(F.flatten(F.array(*rows))))
+        rows.append(F.when(member | emit, row))
+    common = ["us", "seq", "event_id", "host"]
+    exploded = (
+        flagged.select(*common, F.array_compact(F.array(*rows)).alias("_rows"))
+        .select(*common, F.explode_outer("_rows").alias("_row"))
+        .where("_row is not null")
+        .select("us", "seq", "_row.*", F.struct("event_id", "host", F.col("_row._carry").alias("carry")).alias("_keep"))
+    )
+    deltas = sweep(exploded, KEYS, ["_n", "_amount"], F.col("_window"))
 
     by_window: dict[int, list[Column]] = {}
     for index, rule in enumerate(rules):
@@ -149,7 +168,11 @@ def level_detections(
                 F.when(rule.member & _keys_present(rule) & value.isNotNull(), sighting)
             )
     for length, sightings in by_window.items():
-        members = events.select("us", "seq", F.inline(F.array_compact(F.array(*sightings))))
+        members = (
+            events.select("us", "seq", F.array_compact(F.array(*sightings)).alias("_seen"))
+            .select("us", "seq", F.inline_outer("_seen"))
+            .where("_rule is not null")
+        )
         edges = presence_deltas(members, KEYS, "_value", "_n", length, slice_us)
         deltas = deltas.unionByName(edges, allowMissingColumns=True)
 
