@@ -12,6 +12,11 @@ from ..fixed_values import PRIVATE_PREFIXES
 U64_MAX = 18446744073709551615
 
 
+def word_array(words) -> Column:
+    """The list as an array that the optimizer folds to a literal; cheap to build at any length."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -30,8 +35,7 @@ def _any_word(text: Column, words, test) -> Column:
     however long the list; short lists are plain ORs, long ones stay small in generated code."""
     if len(words) <= 6:
         return any_of(test(text, F.lit(w)) for w in words)
-    listed = F.array(*[F.lit(w) for w in words])
-    return F.exists(F.array(text), lambda t: F.exists(listed, lambda w: test(t, w)))
+    return F.exists(F.array(text), lambda t: F.exists(word_array(words), lambda w: test(t, w)))
 
 
 def contains_any(text: Column, words) -> Column:
@@ -51,8 +55,7 @@ def starts_with_any(text: Column, prefixes) -> Column:
 
 
 def _matches(text: Column, words) -> Column:
-    listed = F.array(*[F.lit(w) for w in words])
-    found = F.transform(F.array(text), lambda t: F.filter(listed, lambda w: F.contains(t, w)))
+    found = F.transform(F.array(text), lambda t: F.filter(word_array(words), lambda w: F.contains(t, w)))
     return F.get(found, F.lit(0))
 
 
