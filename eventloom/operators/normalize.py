@@ -63,23 +63,30 @@ def _shape(value: Column) -> Column:
     return F.substring(F.schema_of_variant(value), 1, 3)
 
 
-def _typed(text: Column) -> Column:
-    """Entries of a JSON object text as array<struct<key, value struct<t, s>>>."""
-    return F.map_entries(
-        F.map_zip_with(
-            F.from_json(text, TEXT_MAP, JSON_OPTIONS),
-            F.from_json(text, TYPED_MAP, JSON_OPTIONS),
-            lambda k, t, v: F.struct(t.alias("t"), _shape(v).alias("s")),
-        )
+def typed_map(text: Column) -> Column:
+    """Members of a JSON object text as map<key, struct<t, s>>: value text and type letters."""
+    return F.map_zip_with(
+        F.from_json(text, TEXT_MAP, JSON_OPTIONS),
+        F.from_json(text, TYPED_MAP, JSON_OPTIONS),
+        lambda k, t, v: F.struct(t.alias("t"), _shape(v).alias("s")),
     )
 
 
-def _joined_scalars(text: Column) -> Column:
-    """Scalar elements of a JSON array text, joined by commas; null when there are none."""
+def typed_elements(text: Column) -> Column:
+    """Elements of a JSON array text as array<struct<t, s>>."""
     texts = F.from_json(text, "array<string>", JSON_OPTIONS)
     shapes = F.transform(F.from_json(text, "array<variant>", JSON_OPTIONS), _shape)
+    return F.zip_with(texts, shapes, lambda t, s: F.struct(t.alias("t"), s.alias("s")))
+
+
+def _typed(text: Column) -> Column:
+    return F.map_entries(typed_map(text))
+
+
+def _joined_scalars(text: Column) -> Column:
+    """Scalar elements of a JSON array text, joined by commas; null when there are none."""
     kept = F.filter(
-        F.zip_with(texts, shapes, lambda t, s: F.when(~s.isin("OBJ", "ARR", "VOI"), t)),
+        F.transform(typed_elements(text), lambda e: F.when(~e["s"].isin("OBJ", "ARR", "VOI"), e["t"])),
         lambda t: t.isNotNull(),
     )
     joined = F.array_join(kept, ",")
@@ -112,7 +119,7 @@ def _as_entries(nodes: Column, name: str) -> Column:
     )
 
 
-def _first_of_each_key(entries: Column) -> Column:
+def first_of_each_key(entries: Column) -> Column:
     names = F.transform(entries, lambda e: e["key"])
     return F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
 
@@ -133,7 +140,7 @@ def _flatten_nested(raw: Column, depth: int) -> Column:
     nested = F.concat(nested, F.filter(level, is_object))
     short = F.array_sort(F.filter(nested, lambda n: ~n["s"].isin("OBJ", "ARR", "VOI")))
     entries = F.concat(_as_entries(top, "path"), _as_entries(nested, "path"), _as_entries(short, "key"))
-    return F.map_from_entries(_first_of_each_key(entries))
+    return F.map_from_entries(first_of_each_key(entries))
 
 
 def flatten_json(raw: Column, depth: int = MAX_DEPTH) -> Column:

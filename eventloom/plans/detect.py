@@ -12,6 +12,7 @@ evaluates every rule twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
@@ -25,6 +26,7 @@ from .builtin import builtin_rules
 from .rules import FrameRule, LevelRule, Rule, RuleSet, StatelessRule
 
 AMOUNT = "decimal(20,0)"
+HEADS = "array<struct<rule_id:string,rule_name:string,description:string,tags:array<string>>>"
 KEYS = ["_rule", "_k1", "_k2"]
 
 
@@ -48,17 +50,17 @@ def _only(events: DataFrame, types) -> DataFrame:
 
 
 def _fired(rules: Sequence[Rule], frame: DataFrame, index: Column) -> DataFrame:
-    """Attach what is the same for every firing of a rule, from a literal array by rule number."""
-    heads = F.array(
-        *[
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.name).alias("rule_name"),
-                F.lit(r.description).alias("description"),
-                (F.array(*[F.lit(t) for t in r.tags]) if r.tags else F.array().cast("array<string>")).alias("tags"),
+    """Attach what is the same for every firing of a rule, from a constant array by rule number."""
+    heads = F.from_json(
+        F.lit(
+            json.dumps(
+                [
+                    {"rule_id": r.rule_id, "rule_name": r.name, "description": r.description, "tags": list(r.tags)}
+                    for r in rules
+                ]
             )
-            for r in rules
-        ]
+        ),
+        HEADS,
     )
     return frame.withColumn("_head", F.get(heads, index)).select(
         F.col("_head")["rule_id"].alias("rule_id"),
