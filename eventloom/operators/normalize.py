@@ -34,11 +34,16 @@ TYPED_KEYS = ["event_type", "EventID", "severity", "Level", *TIMESTAMP_KEYS]
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
+def let(value: Column, use) -> Column:
+    """Bind a costly value once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _one(raw: Column, element: str) -> Column:
     """Parse exactly one JSON value. Wrapping it as a one-element array makes text after the
     value an error, which a plain parse would silently ignore."""
     parsed = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), f"array<{element}>", JSON_OPTIONS)
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+    return let(parsed, lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
 
 
 def json_object(raw: Column) -> Column:
@@ -48,11 +53,14 @@ def json_object(raw: Column) -> Column:
 
 def is_json(raw: Column) -> Column:
     """Whether the text is exactly one JSON value, object or not."""
-    value = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    single = F.try_variant_get(value, "$[0]", "variant").isNotNull() & F.try_variant_get(
-        value, "$[1]", "variant"
-    ).isNull()
-    return json_object(raw).isNotNull() | F.coalesce(value.isNotNull() & single, F.lit(False))
+    parsed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    single = let(
+        parsed,
+        lambda v: F.try_variant_get(v, "$[0]", "variant").isNotNull()
+        & F.try_variant_get(v, "$[1]", "variant").isNull(),
+    )
+    # A repeated key is no error in a record, but the variant parser rejects it.
+    return F.coalesce(single, F.lit(False)) | json_object(raw).isNotNull()
 
 
 # --- flattening ------------------------------------------------------------------------
@@ -124,33 +132,52 @@ def first_of_each_key(entries: Column) -> Column:
     return F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
 
 
+def _is_object(node: Column) -> Column:
+    return node["s"] == "OBJ"
+
+
+def _merge(levels: list[Column]) -> Column:
+    """One map from the nodes of all levels; see ``flatten_json`` for the precedence."""
+    leaves = [F.filter(level, lambda n: ~_is_object(n)) for level in levels]
+    top = leaves[0]
+    nested = F.concat(*leaves[1:], F.filter(levels[-1], _is_object))
+
+    def entries(inner):
+        short = F.array_sort(F.filter(inner, lambda n: ~n["s"].isin("OBJ", "ARR", "VOI")))
+        return F.concat(_as_entries(top, "path"), _as_entries(inner, "path"), _as_entries(short, "key"))
+
+    return F.map_from_entries(let(let(nested, entries), first_of_each_key))
+
+
 def _flatten_nested(raw: Column, depth: int) -> Column:
-    """Dot-joined paths, plus the last segment of nested scalars where that key is free.
+    def descend(levels, left):
+        if left == 0:
+            return _merge(levels)
+        below = F.flatten(F.transform(F.filter(levels[-1], _is_object), _children))
+        return let(below, lambda level: descend([*levels, level], left - 1))
 
-    Precedence: top-level keys, then dotted paths, then short keys by smallest path. Objects
-    deeper than ``depth`` stay as JSON text under their path.
-    """
-    level = F.transform(_typed(raw), lambda e: _node(e["key"], e["key"], e["value"]))
-    is_object = lambda n: n["s"] == "OBJ"
-    top = F.filter(level, lambda n: ~is_object(n))
-    nested = F.filter(level, lambda n: F.lit(False))
-    for _ in range(depth):
-        level = F.flatten(F.transform(F.filter(level, is_object), _children))
-        nested = F.concat(nested, F.filter(level, lambda n: ~is_object(n)))
-    nested = F.concat(nested, F.filter(level, is_object))
-    short = F.array_sort(F.filter(nested, lambda n: ~n["s"].isin("OBJ", "ARR", "VOI")))
-    entries = F.concat(_as_entries(top, "path"), _as_entries(nested, "path"), _as_entries(short, "key"))
-    return F.map_from_entries(first_of_each_key(entries))
+    top = F.transform(_typed(raw), lambda e: _node(e["key"], e["key"], e["value"]))
+    return let(top, lambda level: descend([level], depth))
 
 
-def flatten_json(raw: Column, depth: int = MAX_DEPTH) -> Column:
-    """JSON object text to a flat map of texts; not an object: empty map."""
+def _flat_map(raw: Column, top: Column, depth: int) -> Column:
     body = F.substring(F.trim(raw), 2, 2**31 - 1)
     is_nested = F.contains(body, F.lit("{")) | F.contains(body, F.lit("["))
-    flat = F.map_filter(json_object(raw), lambda k, v: v.isNotNull())
-    nested = F.when(json_object(raw).isNotNull(), _flatten_nested(raw, depth))
-    empty = F.create_map().cast(TEXT_MAP)
-    return F.coalesce(F.when(is_nested, nested).otherwise(flat), empty)
+    return (
+        F.when(top.isNull(), F.from_json(F.lit("{}"), TEXT_MAP))
+        .when(is_nested, _flatten_nested(raw, depth))
+        .otherwise(F.map_filter(top, lambda k, v: v.isNotNull()))
+    )
+
+
+def flatten_json(raw: Column, depth: int = MAX_DEPTH) -> Column:
+    """JSON object text to a flat map of texts; not an object: empty map.
+
+    Nested keys are joined by dots, and a nested scalar is also reachable by its last segment
+    where that key is free. Precedence: top-level keys, dotted paths, then short keys by
+    smallest path. Objects deeper than ``depth`` stay as JSON text under their path.
+    """
+    return let(json_object(raw), lambda top: _flat_map(raw, top, depth))
 
 
 # --- classification --------------------------------------------------------------------
@@ -257,14 +284,9 @@ def normalize(
     """
     record = F.col("raw")
     parsed = raw.select(
-        "source",
-        "seq",
-        "received_at",
-        "raw",
-        typed_fields(record).alias("_typed"),
-        json_object(record).alias("_top"),
-        flatten_json(record, max_depth).alias("_flat"),
-    )
+        "source", "seq", "received_at", "raw",
+        typed_fields(record).alias("_typed"), json_object(record).alias("_top"),
+    ).withColumn("_flat", _flat_map(record, F.col("_top"), max_depth))
     typed, top = F.col("_typed"), F.col("_top")
     level = _unsigned_field(typed, top, "Level")
     if numeric_level_text:
