@@ -34,8 +34,8 @@ def rule_set(
     sigma: RuleSet | None = None, extra: Iterable[Rule] = (), disabled: Sequence[str] = ()
 ) -> RuleSet:
     """Built-in rules, then Sigma rules, then the caller's, without the disabled ones."""
-    rules = builtin_rules() + list(sigma.rules if sigma else []) + list(extra)
-    return RuleSet(rules, dict(sigma.errors) if sigma else {}).without(disabled)
+    sigma = RuleSet([]) if sigma is None else sigma
+    return RuleSet([*builtin_rules(), *sigma, *extra], dict(sigma.errors)).without(disabled)
 
 
 def _types(rules) -> list[str] | None:
@@ -208,6 +208,19 @@ def _usable(rule: Rule, build: Callable[[], DataFrame], rules: RuleSet, strict:
         return None
 
 
+def finish(found: DataFrame, detected_at: Column | None = None) -> DataFrame:
+    """Fired rules to detections: identity, time of detection and score."""
+    now = F.current_timestamp() if detected_at is None else detected_at
+    identity = F.sha2(F.concat_ws("|", F.col("rule_id"), F.col("event_ids")), 256)
+    return found.withColumns(
+        {
+            "detection_id": identity,
+            "detected_at": now,
+            "score_contribution": severity_weight(F.col("severity")),
+        }
+    ).select(*DETECTION_COLUMNS)
+
+
 def detect(
     events: DataFrame,
     rules: RuleSet | Sequence[Rule] | None = None,
@@ -256,12 +269,4 @@ def detect(
     if not parts:
         raise ValueError("no usable rule")
     found = reduce(DataFrame.unionByName, parts)
-    now = F.current_timestamp() if detected_at is None else detected_at
-    return found.select(
-        F.sha2(F.concat_ws("|", F.col("rule_id"), F.col("event_ids")), 256).alias("detection_id"),
-        "rule_id", "rule_name", "description", "severity", "event_ids", "trigger_seq", "event_ts", "host",
-        now.alias("detected_at"),
-        severity_weight(F.col("severity")).alias("score_contribution"),
-        "tags",
-        "evidence",
-    ).select(*DETECTION_COLUMNS)
+    return finish(found, detected_at)
