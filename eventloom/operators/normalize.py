@@ -73,10 +73,13 @@ def _shape(value: Column) -> Column:
 
 def typed_map(text: Column) -> Column:
     """Members of a JSON object text as map<key, struct<t, s>>: value text and type letters."""
-    return F.map_zip_with(
-        F.from_json(text, TEXT_MAP, JSON_OPTIONS),
-        F.from_json(text, TYPED_MAP, JSON_OPTIONS),
-        lambda k, t, v: F.struct(t.alias("t"), _shape(v).alias("s")),
+    return let(
+        text,
+        lambda x: F.map_zip_with(
+            F.from_json(x, TEXT_MAP, JSON_OPTIONS),
+            F.from_json(x, TYPED_MAP, JSON_OPTIONS),
+            lambda k, t, v: F.struct(t.alias("t"), _shape(v).alias("s")),
+        ),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import WINDOWS_FIELDS
 from ..functions.text import parse_u64
-from ..operators.normalize import first_of_each_key, typed_elements, typed_map
+from ..operators.normalize import first_of_each_key, let, typed_elements, typed_map
 from .lines import _content, _records, is_json, read_lines, source_column
 
 TEXT = "#text"
@@ -18,18 +18,20 @@ ATTRIBUTES = "#attributes"
 
 def _object(member: Column) -> Column:
     """Members of a nested object; null when the member is not an object."""
-    return typed_map(F.when(member["s"] == "OBJ", member["t"]))
+    return let(member, lambda m: typed_map(F.when(m["s"] == "OBJ", m["t"])))
 
 
 def _string(member: Column) -> Column:
-    return F.when(member["s"] == "STR", member["t"])
+    return let(member, lambda m: F.when(m["s"] == "STR", m["t"]))
 
 
 def _scalar(member: Column) -> Column:
     """Text of a string or number, or the ``#text`` of an object."""
-    return (
-        F.when(member["s"].isin("STR", "BIG", "DEC", "DOU", "FLO"), member["t"])
-        .when(member["s"] == "OBJ", _string(_object(member)[TEXT]))
+    return let(
+        member,
+        lambda m: F.when(m["s"].isin("STR", "BIG", "DEC", "DOU", "FLO"), m["t"]).when(
+            m["s"] == "OBJ", _string(_object(m)[TEXT])
+        ),
     )
 
 
@@ -54,43 +56,58 @@ def _of_members(members: Column) -> Column:
 
 
 def _of_list(data: Column) -> Column:
-    def named(item):
-        inside = _object(item)
+    def named(inside):
         return _entry(canonical_field(_string(_object(inside[ATTRIBUTES])["Name"])), _string(inside[TEXT]))
 
-    return F.transform(typed_elements(data["t"]), named)
+    return F.transform(typed_elements(data["t"]), lambda item: let(_object(item), named))
 
 
-def flatten_record(raw: Column) -> Column:
-    """Flat JSON of an exported record; a record without ``Event`` passes through."""
-    event = _object(typed_map(raw)["Event"])
-    system = _object(event["System"])
-    details = _object(event["EventData"])
-    data = details["Data"]
-    number = parse_u64(_scalar(system["EventID"]))
+def _of_details(details: Column) -> Column:
+    def chosen(data):
+        return (
+            F.when(data["s"] == "ARR", _of_list(data))
+            .when(data["s"] == "OBJ", _of_members(_object(data)))
+            .otherwise(_of_members(F.map_filter(details, lambda k, v: k != "Data")))
+        )
+
+    return let(details["Data"], chosen)
+
+
+def _of_system(system: Column) -> Column:
     created = _object(_object(system["TimeCreated"])[ATTRIBUTES])["SystemTime"]
-    head = F.array(
+    return F.array(
         _entry(F.lit("channel"), _scalar(system["Channel"])),
         _entry(F.lit("host"), _scalar(system["Computer"])),
         _entry(F.lit("timestamp"), _string(created)),
         _entry(F.lit("Level"), _scalar(system["Level"])),
     )
-    fields = (
-        F.when(data["s"] == "ARR", _of_list(data))
-        .when(data["s"] == "OBJ", _of_members(_object(data)))
-        .otherwise(_of_members(F.map_filter(details, lambda k, v: k != "Data")))
-    )
+
+
+def _flat_text(event: Column) -> Column:
+    """Flat JSON of the members of ``Event``; the event id is the one value that stays a number."""
     nothing = F.array().cast("array<struct<key:string,value:string>>")
-    entries = _known(F.concat(head, F.coalesce(fields, nothing)))
-    texts = F.to_json(F.map_from_entries(first_of_each_key(entries)))
-    with_number = F.when(
-        texts == "{}", F.concat(F.lit('{"EventID":'), number.cast("string"), F.lit("}"))
-    ).otherwise(
-        F.concat(F.lit('{"EventID":'), number.cast("string"), F.lit(","), F.substring(texts, 2, 2**31 - 1))
-    )
-    flat = F.when(number.isNotNull(), with_number).otherwise(texts)
-    has_event = F.coalesce(F.map_contains_key(typed_map(raw), F.lit("Event")), F.lit(False))
-    return F.when(has_event, flat).otherwise(raw)
+    fields = F.coalesce(let(_object(event["EventData"]), _of_details), nothing)
+    entries = let(_object(event["System"]), lambda s: _known(F.concat(_of_system(s), fields)))
+    number = parse_u64(_scalar(_object(event["System"])["EventID"])).cast("string")
+    texts = F.to_json(F.map_from_entries(let(entries, first_of_each_key)))
+
+    def with_number(text):
+        rest = F.when(text == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(text, 2, 2**31 - 1)))
+        return let(
+            number, lambda n: F.when(n.isNull(), text).otherwise(F.concat(F.lit('{"EventID":'), n, rest))
+        )
+
+    return let(texts, with_number)
+
+
+def flatten_record(raw: Column) -> Column:
+    """Flat JSON of an exported record; a record without ``Event`` passes through."""
+
+    def flat(top):
+        has_event = F.coalesce(F.map_contains_key(top, F.lit("Event")), F.lit(False))
+        return F.when(has_event, let(_object(top["Event"]), _flat_text)).otherwise(raw)
+
+    return let(typed_map(raw), flat)
 
 
 def winlog_records(lines: DataFrame, received_at: Column | None = None) -> DataFrame:

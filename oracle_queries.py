@@ -83,6 +83,7 @@ def nth(n: int) -> str:
 
 
 N = "CAST(n AS VARCHAR)"
+FAILURE = "event_type = 'login_failure'"
 DISCOVERY = f"{PL} AND {has(CMD, V.DISCOVERY_COMMANDS)}"
 RANSOM = f"event_type = 'file_creation' AND {ends(PATH, V.RANSOM_SUFFIXES)}"
 SUMMED = (
@@ -118,6 +119,130 @@ lateral_rows AS (
 """
 
 
+CLASSIFY_IDS = [*V.EVENT_ID_TYPES, 9999]
+
+# Rules of the sigma_* queries and, under the same name, the predicate they should compile to.
+SIGMA_RULES = {
+    "contains_list": {
+        "title": "contains list", "level": "high", "logsource": {"category": "process_creation"},
+        "detection": {"s": {"cmd|contains": ["WHOAMI", "mimikatz"]}, "condition": "s"},
+    },
+    "selection_and": {
+        "title": "selection and", "level": "medium", "logsource": {"category": "network_connection"},
+        "detection": {"s": {"dst_port": 445, "dst_ip|startswith": "10.1."}, "condition": "s"},
+    },
+    "exact_field": {
+        "title": "exact field", "level": "low", "logsource": {"service": "logon_failed"},
+        "detection": {"s": {"user": ["U7", "u12"]}, "condition": "s"},
+    },
+    "endswith_not": {
+        "title": "endswith not", "level": "critical", "logsource": {"category": "file_event"},
+        "detection": {"a": {"file_path|endswith": [".locked", ".exe"]}, "b": {"host": "h3"}, "condition": "a and not b"},
+    },
+    "or_and": {
+        "title": "or and", "logsource": {"category": "unmapped"},
+        "detection": {
+            "a": {"kind": "error"}, "b": {"host": "h1"}, "c": {"kind": "view"}, "d": {"host": "h2"},
+            "condition": "a and b or c and d",
+        },
+    },
+    "one_of": {
+        "title": "one of", "level": "high", "logsource": {"category": "dns"},
+        "detection": {"q_long": {"query|startswith": "aaaa"}, "q_seven": {"query|contains": "7."}, "condition": "1 of q_*"},
+    },
+    "all_of": {
+        "title": "all of", "level": "high", "logsource": {"category": "registry_set"},
+        "detection": {"k_run": {"registry_key|contains": "\\run"}, "k_value": {"registry_value|startswith": "v8"}, "condition": "all of k_*"},
+    },
+}
+SIGMA_SQL = {
+    "contains_list": ("High", "ProcessCreation", "event_type = 'process_creation' AND (contains(lower(cmd), 'whoami') OR contains(lower(cmd), 'mimikatz'))"),
+    "selection_and": ("Medium", "NetworkConnection", "event_type = 'network_connection' AND dst_port = '445' AND starts_with(dst_ip, '10.1.')"),
+    "exact_field": ("Low", "LoginFailure", "event_type = 'login_failure' AND \"user\" IN ('u7', 'u12')"),
+    "endswith_not": ("Critical", "FileCreation", "event_type = 'file_creation' AND (suffix(lower(file_path), '.locked') OR suffix(lower(file_path), '.exe')) AND host <> 'H3'"),
+    "or_and": ("Info", None, "(kind = 'error' AND host = 'H1') OR (kind = 'view' AND host = 'H2')"),
+    "one_of": ("High", "DnsQuery", "event_type = 'dns_query' AND (starts_with(query, 'aaaa') OR contains(query, '7.'))"),
+    "all_of": ("High", "RegistryModification", "event_type = 'registry_modification' AND contains(lower(registry_key), '\\run') AND starts_with(registry_value, 'v8')"),
+}
+TYPE_LABEL = "CASE event_type " + " ".join(
+    f"WHEN '{t}' THEN '{t.title().replace('_', '')}'" for t in V.EVENT_TYPES
+) + " END"
+
+
+def sigma_sql(name: str) -> str:
+    severity, label, where = SIGMA_SQL[name]
+    title = SIGMA_RULES[name]["title"]
+    shown = q(label) if label else TYPE_LABEL
+    return with_view(
+        f"SELECT {q('SIGMA-' + title)} AS rule_id, seq, {q(severity)} AS severity, CAST({V.SEVERITY_WEIGHT[severity]} AS BIGINT) AS score,"
+        f" {q(f'Sigma rule {chr(39)}{title}{chr(39)} matched on ')} || {shown} AS evidence FROM ev WHERE {where}"
+    )
+
+
+def source_sql() -> dict[str, str]:
+    ids = "CASE k % {n} {arms} END".format(
+        n=len(CLASSIFY_IDS), arms=" ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(CLASSIFY_IDS))
+    )
+    types = "CASE id " + " ".join(f"WHEN {i} THEN {q(t)}" for i, t in V.EVENT_ID_TYPES.items()) + " ELSE 'unknown' END"
+    levels = "CASE k % 7 " + " ".join(f"WHEN {i} THEN {q(t)}" for i, t in V.NUMERIC_LEVELS.items()) + " ELSE 'Info' END"
+    ranks = "CASE severity " + " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(V.SEVERITIES)) + " END"
+    return {
+        "json_flatten_alias": with_view(
+            "SELECT seq, 'H' || substr(\"user\", 2) AS host, 'run ' || k AS cmd, kind AS event_type_raw, CAST(k AS VARCHAR) AS data_k,"
+            " CAST(k AS VARCHAR) AS k, 'a,' || k AS tags, 'run ' || k AS command, 9 AS fields FROM ev"
+        ),
+        "classify": with_view(
+            f"SELECT seq, us, event_type, event_type_raw, severity, {ranks} AS severity_rank FROM ("
+            f"SELECT seq, us, {types} AS event_type, CASE WHEN id = 9999 THEN 'EventID:9999' END AS event_type_raw,"
+            f" CASE WHEN k % 3 = 0 THEN 'High' ELSE {levels} END AS severity FROM (SELECT *, {ids} AS id FROM ev0))"
+        ),
+        "json_lines": with_view("SELECT seq, CASE WHEN k % 5 = 1 THEN 'bad' ELSE 'good' END AS kind FROM ev0 WHERE k % 5 <> 0"),
+        "syslog_lines": (
+            "SELECT 'gw' AS host, 'unknown' AS event_type, 'syslog' AS event_type_raw, count(*) AS records,"
+            " CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE trim(text) <> ''"
+        ),
+        "windows_records": with_view(
+            "SELECT seq, 'login_failure' AS event_type, 'Info' AS severity, 'PC' || substr(host, 2) AS host,"
+            " '10.0.0.' || k AS source_ip, 'Security' AS channel, '3' AS logon_type FROM ev"
+        ),
+        "packets": with_view(
+            "SELECT seq, us, CASE WHEN k % 2 = 0 THEN 'dns_query' ELSE 'network_connection' END AS event_type,"
+            " '10.0.0.' || k AS source_ip, '8.8.4.4' AS dst_ip, CAST(k + 2000 AS VARCHAR) AS src_port,"
+            " CASE WHEN k % 2 = 0 THEN '53' ELSE CAST(CAST(substr(\"user\", 2) AS INTEGER) + 3000 AS VARCHAR) END AS dst_port,"
+            " CASE WHEN k % 2 = 0 THEN 'udp' ELSE 'tcp' END AS protocol,"
+            " CASE WHEN k % 2 = 0 THEN 'h' || k || '.example.com' END AS query FROM ev"
+        ),
+    }
+
+
+def stream_sql() -> dict[str, str]:
+    selects = rule_selects()
+    stateless = [
+        r for r in V.RULE_HEADS
+        if r not in (
+            "PS-LATERAL-001", "EXEC-RECON-001", "FILE-RANSOM-001", "REG-PERSIST-001", "AUTH-BRUTE-001", "DNS-TUNNEL-001",
+            "NET-BEACON-001", "NET-PORTSCAN-001", "NET-SMBLAT-001", "AUTH-SFBRUTE-001", "AUTH-SPRAY-001",
+        )
+    ]
+    # of the transfer rule only the single-transfer branch is stateless
+    union = " UNION ALL ".join(f"({selects[r]})" for r in stateless)
+    return {
+        "stream_stateless_rules": with_view(
+            f"SELECT * FROM ({union}) WHERE NOT (rule_id = 'NET-DATAXFR-001' AND severity = 'High')"
+        ),
+        "stream_trailing_count": with_view(
+            f"SELECT seq, n FROM {counted('host', FAILURE)}"
+        ),
+        "stream_cooccurrence": with_view("SELECT seq FROM chosen", LATERAL_CTE),
+        "sigma_rule_table": with_view(
+            " UNION ALL ".join(
+                f"SELECT '{n}' AS rule_id, seq, {q(SIGMA_SQL[n][0])} AS severity FROM ev WHERE {SIGMA_SQL[n][2]}"
+                for n in ("contains_list", "selection_and", "exact_field")
+            )
+        ),
+    }
+
+
 def rule_selects() -> dict[str, str]:
     """Per rule id the SELECT over ``ev`` that lists its firings."""
     pair_or = lambda words, pair: f"{has(CMD, words)} OR {has_all(CMD, pair)}"
@@ -323,4 +448,8 @@ def oracle_queries() -> dict[str, str]:
     }
     for rule_id in V.RULE_HEADS:
         out[f"rule_{rule_id}"] = rule_sql(rule_id)
+    for name in SIGMA_RULES:
+        out[f"sigma_{name}"] = sigma_sql(name)
+    out.update(source_sql())
+    out.update(stream_sql())
     return out
