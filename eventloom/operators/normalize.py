@@ -73,13 +73,10 @@ def _shape(value: Column) -> Column:
 
 def typed_map(text: Column) -> Column:
     """Members of a JSON object text as map<key, struct<t, s>>: value text and type letters."""
-    return let(
-        text,
-        lambda x: F.map_zip_with(
-            F.from_json(x, TEXT_MAP, JSON_OPTIONS),
-            F.from_json(x, TYPED_MAP, JSON_OPTIONS),
-            lambda k, t, v: F.struct(t.alias("t"), _shape(v).alias("s")),
-        ),
+    return F.map_zip_with(
+        F.from_json(text, TEXT_MAP, JSON_OPTIONS),
+        F.from_json(text, TYPED_MAP, JSON_OPTIONS),
+        lambda k, t, v: F.struct(t.alias("t"), _shape(v).alias("s")),
     )
 
 
@@ -139,48 +136,38 @@ def _is_object(node: Column) -> Column:
     return node["s"] == "OBJ"
 
 
-def _merge(levels: list[Column]) -> Column:
-    """One map from the nodes of all levels; see ``flatten_json`` for the precedence."""
-    leaves = [F.filter(level, lambda n: ~_is_object(n)) for level in levels]
-    top = leaves[0]
-    nested = F.concat(*leaves[1:], F.filter(levels[-1], _is_object))
-
-    def entries(inner):
-        short = F.array_sort(F.filter(inner, lambda n: ~n["s"].isin("OBJ", "ARR", "VOI")))
-        return F.concat(_as_entries(top, "path"), _as_entries(inner, "path"), _as_entries(short, "key"))
-
-    return F.map_from_entries(let(let(nested, entries), first_of_each_key))
-
-
-def _flatten_nested(raw: Column, depth: int) -> Column:
-    def descend(levels, left):
-        if left == 0:
-            return _merge(levels)
-        below = F.flatten(F.transform(F.filter(levels[-1], _is_object), _children))
-        return let(below, lambda level: descend([*levels, level], left - 1))
-
-    top = F.transform(_typed(raw), lambda e: _node(e["key"], e["key"], e["value"]))
-    return let(top, lambda level: descend([level], depth))
-
-
-def _flat_map(raw: Column, top: Column, depth: int) -> Column:
-    body = F.substring(F.trim(raw), 2, 2**31 - 1)
-    is_nested = F.contains(body, F.lit("{")) | F.contains(body, F.lit("["))
-    return (
-        F.when(top.isNull(), F.from_json(F.lit("{}"), TEXT_MAP))
-        .when(is_nested, _flatten_nested(raw, depth))
-        .otherwise(F.map_filter(top, lambda k, v: v.isNotNull()))
-    )
-
-
-def flatten_json(raw: Column, depth: int = MAX_DEPTH) -> Column:
+def with_flat_map(df: DataFrame, raw: str, top: str, out: str, depth: int = MAX_DEPTH) -> DataFrame:
     """JSON object text to a flat map of texts; not an object: empty map.
 
     Nested keys are joined by dots, and a nested scalar is also reachable by its last segment
     where that key is free. Precedence: top-level keys, dotted paths, then short keys by
     smallest path. Objects deeper than ``depth`` stay as JSON text under their path.
+
+    One level per projection, so that every level is parsed once; all of it stays in one stage,
+    and the levels of a flat record are null.
     """
-    return let(json_object(raw), lambda top: _flat_map(raw, top, depth))
+    body = F.substring(F.trim(raw), 2, 2**31 - 1)
+    is_nested = F.col(top).isNotNull() & (F.contains(body, F.lit("{")) | F.contains(body, F.lit("[")))
+    start = F.transform(_typed(F.col(raw)), lambda e: _node(e["key"], e["key"], e["value"]))
+    staged = df.withColumn("_level0", F.when(is_nested, start))
+    levels = [F.col("_level0")]
+    for i in range(1, depth + 1):
+        below = F.flatten(F.transform(F.filter(levels[-1], _is_object), _children))
+        staged = staged.withColumn(f"_level{i}", below)
+        levels.append(F.col(f"_level{i}"))
+    leaves = [F.filter(level, lambda n: ~_is_object(n)) for level in levels]
+    staged = staged.withColumn("_inner", F.concat(*leaves[1:], F.filter(levels[-1], _is_object)))
+    short = F.array_sort(F.filter("_inner", lambda n: ~n["s"].isin("OBJ", "ARR", "VOI")))
+    staged = staged.withColumn(
+        "_entries",
+        F.concat(_as_entries(leaves[0], "path"), _as_entries(F.col("_inner"), "path"), _as_entries(short, "key")),
+    )
+    flat = (
+        F.when(F.col(top).isNull(), F.from_json(F.lit("{}"), TEXT_MAP))
+        .when(F.col("_entries").isNotNull(), F.map_from_entries(first_of_each_key(F.col("_entries"))))
+        .otherwise(F.map_filter(top, lambda k, v: v.isNotNull()))
+    )
+    return staged.withColumn(out, flat).drop(*[f"_level{i}" for i in range(depth + 1)], "_inner", "_entries")
 
 
 # --- classification --------------------------------------------------------------------
@@ -289,7 +276,8 @@ def normalize(
     parsed = raw.select(
         "source", "seq", "received_at", "raw",
         typed_fields(record).alias("_typed"), json_object(record).alias("_top"),
-    ).withColumn("_flat", _flat_map(record, F.col("_top"), max_depth))
+    )
+    parsed = with_flat_map(parsed, "raw", "_top", "_flat", max_depth)
     typed, top = F.col("_typed"), F.col("_top")
     level = _unsigned_field(typed, top, "Level")
     if numeric_level_text:

@@ -6,11 +6,11 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators.normalize import flatten_json, is_json, normalize
+from eventloom.operators.normalize import is_json, json_object, normalize, with_flat_map
 from eventloom.sources.lines import bad_json_lines, json_records, read_json_events, read_lines, read_syslog_events
 from eventloom.sources.packets import decode_packets, packet_records
 from eventloom.sources.union import read_sources
-from eventloom.sources.winlog import flatten_record, read_winlog_events
+from eventloom.sources.winlog import flatten_records, read_winlog_events
 
 def received():
     return F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("seq"))
@@ -120,7 +120,7 @@ def test_flatten(spark):
         ('{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}}}', {"a.b.c.d.e.f": '{"g":1}'}),
     ]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw string")
-    got = {r.i: r.m for r in df.select("i", flatten_json(F.col("raw")).alias("m")).collect()}
+    got = {r.i: r.m for r in with_flat_map(df.withColumn("top", json_object(F.col("raw"))), "raw", "top", "m").collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
 
@@ -168,7 +168,7 @@ def test_windows_records(spark, tmp_path):
     path = tmp_path / "w.json"
     path.write_text("\n".join(json.dumps(s) for s in shapes))
     df = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(shapes)], "i int, raw string")
-    flat = {r.i: json.loads(r.f) for r in df.select("i", flatten_record(F.col("raw")).alias("f")).collect()}
+    flat = {r.i: json.loads(r.f) for r in flatten_records(df, "raw", "f").collect()}
     head = {"channel": "Security", "host": "PC1", "timestamp": "2024-01-15T10:29:50Z"}
     assert flat[0] == {"EventID": 4625, **head, "Level": "2", "source_ip": "10.0.0.9", "logontype": "3"}
     assert flat[1] == {"EventID": 1, **head, "Level": "4", "cmd": "whoami", "pid": "12"}
