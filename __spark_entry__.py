@@ -33,6 +33,14 @@ from eventloom.sources.winlog import winlog_records  # noqa: E402
 from eventloom.streaming.detect import run_to_end, stream_co_occurrence, stream_stateless, stream_trailing  # noqa: E402
 from oracle_queries import CLASSIFY_IDS, SIGMA_RULES, oracle_queries  # noqa: E402
 
+try:
+    import eventloom.llm.queries as llm_queries
+    import corpus_pipeline
+except ModuleNotFoundError as error:  # the subpackage and its pipeline may be left out; nothing else may be missing
+    if error.name not in ("eventloom.llm", "eventloom.llm.queries", "corpus_pipeline"):
+        raise
+    llm_queries = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -308,8 +316,10 @@ def queries() -> dict[str, Query]:
     out = {**_context_queries(), **_report_queries(), **_source_queries(), **_sigma_queries(), **_stream_queries()}
     for rule_id in V.RULE_HEADS:
         out[f"rule_{rule_id}"] = _rule(rule_id)
+    if llm_queries:
+        out |= llm_queries.queries() | {"pipeline": lambda spark, sf_dir: corpus_pipeline.run(_utc(spark), sf_dir)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries()
+    return oracle_queries() | (llm_queries.oracle_sql() if llm_queries else {})

@@ -3,8 +3,6 @@ are given by the submitter; nothing here overrides an existing session."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -24,11 +22,13 @@ def local_session(cores: int | str = "*", app: str = "eventloom", **conf: str) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only a local session may go without one and gets a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured is None and current is None:
-        configured = tempfile.mkdtemp(prefix="eventloom-ckpt-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = f"{spark.conf.get('spark.local.dir', '/tmp')}/eventloom-checkpoints-{spark.sparkContext.applicationId}"
     if current is None:
         spark.sparkContext.setCheckpointDir(configured)
         current = spark.sparkContext.getCheckpointDir()
