@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventloom.llm import chat_format, exact_dedup, mixing, token_counts
+from eventloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity
 
 LONG_LINE, LINE_DOCS = 40, 5
 
@@ -13,10 +13,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    out = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -33,10 +47,33 @@ def op8_mixing(spark, sf_dir):
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_token_counts, op7_chat_format, op8_mixing)}
+def op9_secrets(spark, sf_dir):
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark, sf_dir):
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def queries() -> dict:
+    return {f.__name__: f for f in (
+        op1_line_dedup, op2_exact_dedup, op3_toxicity, op4_ngram_join, op6_token_counts, op7_chat_format, op8_mixing, op9_secrets,
+        op10_decontamination,
+    )}
+
+
+LINES_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, generate_subscripts(lines, 1) AS at, unnest(lines) AS line FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+hot AS (SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT d.doc_id, count(*) AS n_lines, count(h.k) AS n_dropped,
+       sha256(coalesce(string_agg(d.line, chr(10) ORDER BY d.at) FILTER (WHERE h.k IS NULL), '')) AS kept_sha256
+FROM keyed d LEFT JOIN hot h ON d.k = h.k AND d.doc_id <> h.last_doc GROUP BY d.doc_id
+"""
+
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -71,4 +108,4 @@ FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.seed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL}
