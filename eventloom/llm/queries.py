@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, ngram_join, secrets, token_counts, toxicity
+from eventloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, ngram_join, secrets, substring_dedup, token_counts, toxicity
 
 LONG_LINE, LINE_DOCS = 40, 5
 
@@ -31,6 +31,10 @@ def op4_ngram_join(spark, sf_dir):
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_decontamination(spark, sf_dir):
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_exact_dedup, op3_toxicity, op4_ngram_join, op6_token_counts, op7_chat_format, op8_mixing, op9_secrets,
+        op1_line_dedup, op2_exact_dedup, op3_toxicity, op4_ngram_join, op5_substring_dedup, op6_token_counts, op7_chat_format, op8_mixing, op9_secrets,
         op10_decontamination,
     )}
 
