@@ -1,8 +1,57 @@
-"""From raw documents to a training mix: filter, deduplicate, decontaminate and mix, one operator of eventloom.llm per stage."""
+"""From raw documents to a training mix: filter, deduplicate, decontaminate and mix, one operator of eventloom.llm per stage.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with their columns. run() writes every stage's
+result as Parquet into the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from eventloom.llm import decontamination, line_dedup, mixing, ngram_join, toxicity
+from eventloom.llm.common import stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be toxic go; it learns from the documents it is given."""
+    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 0").select("row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines of five or more documents stay in the last one only; no document goes."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the smallest identifier stays."""
+    return ngram_join.one_of_each(docs, k=5, num=8, den=10)
+
+
+def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("decontamination", drop_benchmark_overlaps),
+    ("mixing", mix_sources),
+]
+
+#: The classifier of the first stage can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
