@@ -67,11 +67,12 @@ def longest_overlap(equal: np.ndarray, share: float) -> tuple[int, int]:
     # A stretch (i, j) counts when sums[j] >= sums[i]: the best start for j is the first place whose sum is no larger.
     lows = np.minimum.accumulate(sums)
     starts = np.searchsorted(-lows, -(sums[1:] + 1e-9), side="left")
-    lengths = np.arange(1, len(sums)) - starts
+    # Unequal words at either end are left out, which only raises the share.
+    places = np.where(equal, np.arange(len(equal)), len(equal))
+    following = np.append(np.minimum.accumulate(places[::-1])[::-1], len(equal))
+    lengths = np.where(equal, np.arange(1, len(sums)) - following[starts], 0)
     end = int(lengths.argmax()) + 1
-    start = int(starts[end - 1])
-    inside = np.flatnonzero(equal[start:end])
-    return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (0, 0)
+    return int(following[starts[end - 1]]), end
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8) -> DataFrame:
