@@ -2,14 +2,17 @@
 the window, in any order.
 
 Only a few facts matter for a trigger: the nearest P and N on either side and the first of
-each inside its trailing window. They are found by one ordered pass over facts and triggers
-per time slice, plus what the neighbouring slices hold, carried over from a table of slice
-extremes. Facts are never paired with each other.
-
-Facts are usually many and triggers few. Then the facts are first reduced, on the map side,
-to the first and last one between neighbouring cut points (trigger times and window starts):
-facts between the same two cuts look alike to every trigger, so the reduction is exact. It
-needs the cut points in every task, hence it is used only when a count has shown them small.
+each inside its trailing window. Time is cut into slices much shorter than the window.
+
+* Facts of a slice that holds no cut point (a trigger's time or its window's start) matter
+  only as the slice's first and last, which are aggregated on the map side.
+* Facts of the other slices are walked once in order together with the cut points, forwards
+  for what came before and backwards for what comes after.
+* Nothing beyond the window can pair, so slice extremes are handed only to neighbours: blocks
+  of slices as long as the window see themselves and the blocks next to them.
+
+Facts are never paired with each other, no slice sees all slices, and nothing is counted
+while the plan is made.
 """
 
 from __future__ import annotations
@@ -21,9 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .context import slice_of, window_micros
 
 FIRST_SEQ = -(1 << 63)
-LAST = (1 << 63) - 1
-MAX_CUTS = 500_000  # cut points a task may hold
-MAX_CUTS_PER_SLICE = 64  # cut points a fact is compared with
+SLICES = 32  # per window, unless the caller gives a length
 KINDS = ("p", "n")
 
 
@@ -31,29 +32,6 @@ def _point(us: Column, seq: Column) -> Column:
     return F.struct(us.alias("us"), seq.alias("seq"))
 
 
-def _sparse(cuts: DataFrame, place: Sequence[str]) -> bool:
-    size = cuts.groupBy(*place).count().agg(F.sum("count").alias("n"), F.max("count").alias("m")).first()
-    return (size.n or 0) <= MAX_CUTS and (size.m or 0) <= MAX_CUTS_PER_SLICE
-
-
-def _between_cuts(facts: DataFrame, cuts: DataFrame, place: Sequence[str]) -> DataFrame:
-    """First and last fact of each kind between neighbouring cut points, slice by slice."""
-    ordered = Window.partitionBy(*place).orderBy("_lo")
-    spans = cuts.select(*place, F.col("at").alias("_lo")).distinct()
-    spans = spans.select(
-        *[F.col(c).alias(f"_{c}") for c in place],
-        "_lo",
-        F.coalesce(F.lead("_lo").over(ordered), _point(F.lit(LAST), F.lit(LAST))).alias("_hi"),
-    )
-    same = (F.col("fact.at") >= F.col("_lo")) & (F.col("fact.at") < F.col("_hi"))
-    for c in place:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    # Facts ahead of the first cut of their slice, or in a slice without cuts, share span null.
-    located = facts.join(F.broadcast(spans), same, "left")
-    edges = located.groupBy(*place, "kind", "_lo").agg(F.min("fact").alias("a"), F.max("fact").alias("b"))
-    return edges.select(*place, "kind", F.explode(F.array_distinct(F.array("a", "b"))).alias("fact"))
-
-
 def co_occurrence(
     events: DataFrame,
     window_secs: float,
@@ -73,7 +51,7 @@ def co_occurrence(
     pair with the smallest span, then the nearest first event, then the nearest second event.
     """
     window_us = window_micros(window_secs)
-    slice_us = max(1, window_micros(slice_secs) if slice_secs is not None else window_us // 8)
+    slice_us = max(1, window_micros(slice_secs) if slice_secs is not None else window_us // SLICES)
     us, seq = F.col("us"), F.col("seq")
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_"))
     keys = list(by) or ["_all"]
@@ -99,42 +77,51 @@ def co_occurrence(
         )
         .withColumn("_slice", slice_of(F.col("at.us"), slice_us))
     )
-    if _sparse(cuts, place):
-        facts = _between_cuts(facts, cuts, place)
 
     def of_kind(kind):
         return F.when(F.col("kind") == kind, F.col("fact"))
 
-    both = facts.select(
+    # Inside the slices that hold a cut point.
+    near = facts.join(cuts.select(*place).distinct(), place, "left_semi")
+    both = near.select(
         *place, F.col("fact.at").alias("at"), *[of_kind(k).alias(k) for k in KINDS]
     ).unionByName(cuts.select(*place, "at", "t_us", "t_seq", "t_kept"), allowMissingColumns=True)
-
-    # Inside the slice.
-    ordered = Window.partitionBy(*place).orderBy("at", F.col("t_us").isNotNull())
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    is_cut = F.col("t_us").isNotNull()
+    running = [Window.unboundedPreceding, Window.currentRow]
+    forwards = Window.partitionBy(*place).orderBy("at", is_cut).rowsBetween(*running)
+    backwards = Window.partitionBy(*place).orderBy(F.col("at").desc(), is_cut).rowsBetween(*running)
     seen = both.select(
         *place,
         "at",
         "t_us",
         "t_seq",
         "t_kept",
-        *[F.last(k, ignorenulls=True).over(upto).alias(f"{k}_before") for k in KINDS],
-        *[F.first(k, ignorenulls=True).over(onward).alias(f"{k}_after") for k in KINDS],
-    ).where("t_us is not null")
-
-    # Beyond the slice: extremes per slice, one row per busy slice.
-    extremes = both.groupBy(*place).agg(
-        *[F.max(k).alias(f"{k}_max") for k in KINDS],
-        *[F.min(k).alias(f"{k}_min") for k in KINDS],
+        *[F.last(k, ignorenulls=True).over(forwards).alias(f"{k}_before") for k in KINDS],
+        *[F.last(k, ignorenulls=True).over(backwards).alias(f"{k}_after") for k in KINDS],
+    ).where(is_cut)
+
+    # Beyond the slice: first and last of each slice, seen from the blocks within the window.
+    extremes = facts.groupBy(*place).agg(
+        *[F.max(of_kind(k)).alias(f"{k}_max") for k in KINDS],
+        *[F.min(of_kind(k)).alias(f"{k}_min") for k in KINDS],
     )
-    along = Window.partitionBy(*keys).orderBy("_slice")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    later = along.rowsBetween(1, Window.unboundedFollowing)
-    beyond = extremes.select(
-        *place,
-        *[F.last(f"{k}_max", ignorenulls=True).over(earlier).alias(f"{k}_earlier") for k in KINDS],
-        *[F.first(f"{k}_min", ignorenulls=True).over(later).alias(f"{k}_later") for k in KINDS],
+    cut_slices = cuts.select(*place).distinct().withColumn("_asks", F.lit(True))
+    per_block = -(-window_us // slice_us) + 1
+    block = F.floor(F.col("_slice") / F.lit(per_block)).cast("bigint")
+    shown = extremes.withColumn("_block", F.explode(F.array(block - 1, block, block + 1)))
+    shown = shown.unionByName(cut_slices.withColumn("_block", block), allowMissingColumns=True)
+    steps = Window.partitionBy(*keys, "_block")
+    earlier = steps.orderBy("_slice").rangeBetween(Window.unboundedPreceding, -1)
+    later = steps.orderBy(F.col("_slice").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    beyond = (
+        shown.select(
+            *place,
+            "_asks",
+            *[F.max(f"{k}_max").over(earlier).alias(f"{k}_earlier") for k in KINDS],
+            *[F.min(f"{k}_min").over(later).alias(f"{k}_later") for k in KINDS],
+        )
+        .where("_asks")
+        .drop("_asks")
     )
     looked_up = seen.join(beyond, place, "left")
 

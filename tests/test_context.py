@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import context as C, cooccurrence
+from eventloom.operators import context as C
 from eventloom.operators.cooccurrence import co_occurrence
 
 SCHEMA = "key string, seq bigint, us bigint, kind string, value string, amount bigint"
@@ -112,11 +112,8 @@ def best_triple(rows, t, w):
     return best and best[1:]
 
 
-@pytest.mark.parametrize("dense", [False, True])
-@pytest.mark.parametrize("seed,window,slice_secs", [(1, 40e-6, 7e-6), (2, 90e-6, None), (3, 4e-6, 50e-6)])
-def test_co_occurrence(spark, monkeypatch, seed, window, slice_secs, dense):
-    if dense:
-        monkeypatch.setattr(cooccurrence, "MAX_CUTS", 0)
+@pytest.mark.parametrize("seed,window,slice_secs", [(1, 40e-6, 7e-6), (2, 90e-6, None), (3, 4e-6, 50e-6), (4, 200e-6, 1e-6)])
+def test_co_occurrence(spark, seed, window, slice_secs):
     rng = random.Random(seed)
     rows = [
         ("k", i, us, rng.choices("pnt", [2, 2, 5])[0], f"v{i}", 0)
