@@ -25,13 +25,14 @@ from eventloom.operators.normalize import host_filter, normalize  # noqa: E402
 from eventloom.plans import sigma  # noqa: E402
 from eventloom.plans.builtin import builtin_rules  # noqa: E402
 from eventloom.plans.detect import detect  # noqa: E402
-from eventloom.plans.rules import StatelessRule  # noqa: E402
+from eventloom.plans.rules import Branch, RuleSet, StatelessRule  # noqa: E402
 from eventloom.session import checkpoint_dir  # noqa: E402
 from eventloom.sources.lines import bad_json_lines, json_records, syslog_records  # noqa: E402
 from eventloom.sources.packets import packet_records  # noqa: E402
+from eventloom.sources.union import union_records  # noqa: E402
 from eventloom.sources.winlog import winlog_records  # noqa: E402
 from eventloom.streaming.detect import run_to_end, stream_co_occurrence, stream_stateless, stream_trailing  # noqa: E402
-from oracle_queries import CLASSIFY_IDS, SIGMA_RULES, oracle_queries  # noqa: E402
+from oracle_queries import CLASSIFY_IDS, DISABLED_RULES, SIGMA_RULES, oracle_queries  # noqa: E402
 
 try:
     import eventloom.llm.queries as llm_queries
@@ -104,13 +105,16 @@ def _context_queries() -> dict[str, Query]:
         crossed = context.crosses_multiple(F.col("total"), F.col("before"), V.WINDOW_UPLOAD_BYTES)
         return sums.where(crossed).select("seq", "host", "total", "before")
 
-    def cooccurrence(spark, sf_dir):
+    def cooccurrence(spark, sf_dir, window_secs=WINDOW_SECS):
         shell = _is("process_creation") & contains_any(lowered(F.col("cmd")), V.POWERSHELL_NAMES)
         return co_occurrence(
-            _events(spark, sf_dir), WINDOW_SECS,
+            _events(spark, sf_dir), window_secs,
             trigger=_is("service_installation"), first=shell, second=_is("network_connection"),
         ).select("seq", F.col("first_event.seq").alias("p_seq"), F.col("second_event.seq").alias("n_seq"))
 
+    def cooccurrence_default_window(spark, sf_dir):
+        return cooccurrence(spark, sf_dir, V.DEFAULT_WINDOW_SECS)
+
     def preceding_failures(spark, sf_dir):
         return context.preceding_matches(
             _events(spark, sf_dir), ["host", "source_ip"], WINDOW_SECS,
@@ -124,7 +128,7 @@ def _context_queries() -> dict[str, Query]:
         ).select("seq", "present")
 
     return {f.__name__: f for f in (
-        trailing_count, point_in_time_count, windowed_distinct, windowed_sum_crossing, cooccurrence,
+        trailing_count, point_in_time_count, windowed_distinct, windowed_sum_crossing, cooccurrence, cooccurrence_default_window,
         preceding_failures, preceded_by_type,
     )}
 
@@ -139,6 +143,7 @@ def _report_queries() -> dict[str, Query]:
         "host_filter": lambda spark, sf: host_filter(_events(spark, sf), ["h3", "H7"]).select("seq", "host", "event_type"),
         "events_by_source": lambda spark, sf: report.events_by_source(_events(spark, sf)),
         "detections": lambda spark, sf: _rows(_all(spark, sf)),
+        "rules_disabled": lambda spark, sf: _rows(detect(_events(spark, sf), window_secs=WINDOW_SECS, disabled=DISABLED_RULES)),
         "severity_summary": lambda spark, sf: report.severity_summary(_all(spark, sf)),
         "score_level": lambda spark, sf: report.score_level(_all(spark, sf)),
         "detections_by_rule": lambda spark, sf: report.detections_by_rule(_all(spark, sf)),
@@ -249,7 +254,14 @@ def _source_queries() -> dict[str, Query]:
             m["protocol"].alias("protocol"), "query",
         )
 
-    return {f.__name__: f for f in (json_flatten_alias, classify, json_lines, syslog_lines, windows_records, packets)}
+    def union_sources(spark, sf_dir):
+        """Seventeen inputs of two kinds."""
+        records = json_records(_sample_lines(spark, sf_dir, F.lit('{"event_type":"login_failure"}')), F.col("ts"))
+        lines = syslog_records(_sample_lines(spark, sf_dir, F.col("event_type")), "gw", F.col("ts"))
+        out = normalize(union_records([records, lines] * 8 + [records]))
+        return out.groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("seq").alias("numbers"))
+
+    return {f.__name__: f for f in (union_sources, json_flatten_alias, classify, json_lines, syslog_lines, windows_records, packets)}
 
 
 def _sigma_queries() -> dict[str, Query]:
@@ -262,11 +274,19 @@ def _sigma_queries() -> dict[str, Query]:
 
     def rule_table(spark, sf_dir):
         rules = [
-            {**SIGMA_RULES[n], "id": n} for n in ("contains_list", "selection_and", "exact_field")
+            {**SIGMA_RULES[n], "id": n} for n in SIGMA_RULES
         ]
         return sigma.match_rule_table(_events(spark, sf_dir), rules)
 
-    return {**{f"sigma_{name}": one(name) for name in SIGMA_RULES}, "sigma_rule_table": rule_table}
+    def rules_bad_isolated(spark, sf_dir):
+        """A good rule beside one whose column does not exist and one that does not load."""
+        broken = StatelessRule("MY-BAD", "Bad", branches=(Branch(F.col("no_such_column") == 1, "Low", F.array(F.lit("x"))),))
+        rules = sigma.load_rules(texts=[SIGMA_RULES["contains_list"], {"title": "no condition"}])
+        return _rows(detect(_events(spark, sf_dir), RuleSet([*rules, broken], dict(rules.errors)), WINDOW_SECS))
+
+    return {
+        **{f"sigma_{name}": one(name) for name in SIGMA_RULES}, "sigma_rule_table": rule_table, "rules_bad_isolated": rules_bad_isolated,
+    }
 
 
 def _stream_folder(spark) -> tuple[str, str]:

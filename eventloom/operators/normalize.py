@@ -19,6 +19,7 @@ from ..fixed_values import (
     SEVERITIES,
     TIMESTAMP_KEYS,
 )
+from ..functions.json_batches import LEVELS, MARK, rewritten_json
 from ..functions.text import parse_u64
 from ..schema import EVENT_SCHEMA, PROMOTED, severity_rank
 
@@ -26,7 +27,6 @@ from ..schema import EVENT_SCHEMA, PROMOTED, severity_rank
 JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 TEXT_MAP = "map<string,string>"
 TYPED_MAP = "map<string,variant>"
-MAX_DEPTH = 5
 
 TYPED_KEYS = ["event_type", "EventID", "severity", "Level", *TIMESTAMP_KEYS]
 
@@ -51,16 +51,28 @@ def json_object(raw: Column) -> Column:
     return _one(raw, TEXT_MAP)
 
 
+def json_text(raw: Column) -> Column:
+    """The text if it is exactly one JSON value, else null. Of repeated keys the last one is kept.
+
+    The variant parser settles nearly every line. It ignores text after a value, so the value is
+    wrapped in two ways, one of which trailing text always breaks; and it rejects repeated keys.
+    What it rejects, and records with enough braces to be deeper than LEVELS, are read once more
+    in Arrow batches, where deep leaves are lifted (other lines pass as null).
+    """
+
+    def parses(before, after):
+        return F.try_parse_json(F.concat(F.lit(before), raw, F.lit(after)))
+
+    one = F.try_variant_get(parses("[", "]"), "$[1]", "variant").isNull()
+    some = F.try_variant_get(parses("[", "]"), "$[0]", "variant").isNotNull()
+    shallow = F.length(raw) - F.length(F.replace(raw, F.lit("{"), F.lit(""))) <= LEVELS + 1
+    plain = F.coalesce(one & some & parses('{"v":', "}").isNotNull() & shallow, F.lit(False))
+    return F.when(plain, raw).otherwise(rewritten_json(F.when(~plain, raw)))
+
+
 def is_json(raw: Column) -> Column:
     """Whether the text is exactly one JSON value, object or not."""
-    parsed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    single = let(
-        parsed,
-        lambda v: F.try_variant_get(v, "$[0]", "variant").isNotNull()
-        & F.try_variant_get(v, "$[1]", "variant").isNull(),
-    )
-    # A repeated key is no error in a record, but the variant parser rejects it.
-    return F.coalesce(single, F.lit(False)) | json_object(raw).isNotNull()
+    return json_text(raw).isNotNull()
 
 
 # --- flattening ------------------------------------------------------------------------
@@ -112,6 +124,13 @@ def _children(node: Column) -> Column:
     )
 
 
+def _lifted_node(node: Column) -> Column:
+    """A leaf that was lifted to the last level gets its full path and its own key back."""
+    mark = F.lit(MARK)
+    path = F.replace(F.replace(node["path"], F.concat(F.lit("."), mark), F.lit(".")), mark, F.lit("."))
+    return F.struct(path.alias("path"), F.substring_index(node["key"], MARK, -1).alias("key"), node["t"].alias("t"), node["s"].alias("s"))
+
+
 def _leaf_value(node: Column) -> Column:
     return (
         F.when(node["s"] == "ARR", _joined_scalars(node["t"]))
@@ -136,15 +155,15 @@ def _is_object(node: Column) -> Column:
     return node["s"] == "OBJ"
 
 
-def with_flat_map(df: DataFrame, raw: str, top: str, out: str, depth: int = MAX_DEPTH) -> DataFrame:
+def with_flat_map(df: DataFrame, raw: str, top: str, out: str, depth: int = LEVELS) -> DataFrame:
     """JSON object text to a flat map of texts; not an object: empty map.
 
     Nested keys are joined by dots, and a nested scalar is also reachable by its last segment
     where that key is free. Precedence: top-level keys, dotted paths, then short keys by
-    smallest path. Objects deeper than ``depth`` stay as JSON text under their path.
+    smallest path.
 
     One level per projection, so that every level is parsed once; all of it stays in one stage,
-    and the levels of a flat record are null.
+    and the levels of a flat record are null. ``json_text`` has lifted what lay deeper.
     """
     body = F.substring(F.trim(raw), 2, 2**31 - 1)
     is_nested = F.col(top).isNotNull() & (F.contains(body, F.lit("{")) | F.contains(body, F.lit("[")))
@@ -156,7 +175,7 @@ def with_flat_map(df: DataFrame, raw: str, top: str, out: str, depth: int = MAX_
         staged = staged.withColumn(f"_level{i}", below)
         levels.append(F.col(f"_level{i}"))
     leaves = [F.filter(level, lambda n: ~_is_object(n)) for level in levels]
-    staged = staged.withColumn("_inner", F.concat(*leaves[1:], F.filter(levels[-1], _is_object)))
+    staged = staged.withColumn("_inner", F.concat(*leaves[1:-1], F.transform(leaves[-1], _lifted_node)))
     short = F.array_sort(F.filter("_inner", lambda n: ~n["s"].isin("OBJ", "ARR", "VOI")))
     staged = staged.withColumn(
         "_entries",
@@ -265,7 +284,6 @@ def normalize(
     hosts: Sequence[str] = (),
     extended_aliases: bool = False,
     numeric_level_text: bool = False,
-    max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Raw records (``source``, ``raw``, ``received_at``, ``seq``) to canonical events.
 
@@ -277,7 +295,7 @@ def normalize(
         "source", "seq", "received_at", "raw",
         typed_fields(record).alias("_typed"), json_object(record).alias("_top"),
     )
-    parsed = with_flat_map(parsed, "raw", "_top", "_flat", max_depth)
+    parsed = with_flat_map(parsed, "raw", "_top", "_flat")
     typed, top = F.col("_typed"), F.col("_top")
     level = _unsigned_field(typed, top, "Level")
     if numeric_level_text:

@@ -16,6 +16,8 @@ import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import DEFAULT_WINDOW_SECS, RULE_HEADS
@@ -195,17 +197,23 @@ def level_detections(
     return _fired(rules, found, F.col("_rule"))
 
 
-def _usable(rule: Rule, build: Callable[[], DataFrame], rules: RuleSet, strict: bool) -> DataFrame | None:
-    """A rule whose plan cannot be built is recorded and skipped; the others go on."""
+def _usable(rule: Rule, build: Callable[[], DataFrame], errors: dict[str, str] | None) -> DataFrame | None:
+    """A caller's rule whose plan cannot be built is recorded and skipped; the others go on. Without a table that the caller
+    can read it raises, and so does a Spark job that fails: that is no fault of the rule."""
     try:
         frame = build()
         frame.schema
         return frame
+    except AnalysisException as error:
+        failure = error
+    except (PySparkException, Py4JError):
+        raise
     except Exception as error:
-        if strict:
-            raise
-        rules.errors[rule.rule_id] = str(error)
-        return None
+        failure = error
+    if errors is None:
+        raise failure
+    errors[rule.rule_id] = str(failure)
+    return None
 
 
 def finish(found: DataFrame, detected_at: Column | None = None) -> DataFrame:
@@ -235,9 +243,11 @@ def detect(
     """Detections of all rules over normalised events, one row per firing.
 
     ``host_expr`` stands in for the host where events have none (packet tables); by default
-    such events take no part in host-keyed rules. Broken caller rules are reported in
-    ``rules.errors`` unless ``strict``.
+    such events take no part in host-keyed rules. Caller rules whose plan is broken are listed in
+    ``rules.errors`` of a RuleSet; with a plain list or ``strict`` they raise, as built-in rules
+    always do.
     """
+    errors = rules.errors if isinstance(rules, RuleSet) and not strict else None
     if not isinstance(rules, RuleSet):
         rules = RuleSet(builtin_rules() if rules is None else list(rules))
     active = rules.without(disabled)
@@ -251,7 +261,7 @@ def detect(
         chosen = [r for r in active if isinstance(r, kind)]
         own = [r for r in chosen if r.rule_id in builtin_ids]
         foreign = [r for r in chosen if r.rule_id not in builtin_ids]
-        good = own + [r for r in foreign if _usable(r, lambda r=r: build([r]), rules, strict) is not None]
+        good = own + [r for r in foreign if _usable(r, lambda r=r: build([r]), errors) is not None]
         if good:
             parts.append(build(good))
 
@@ -260,9 +270,8 @@ def detect(
     for rule in active:
         if isinstance(rule, FrameRule):
             length = rule.window_secs if rule.window_secs is not None else window_secs
-            frame = _usable(
-                rule, lambda: _fired([rule], rule.find(events, length), F.lit(0)), rules, strict
-            )
+            plan = lambda rule=rule, length=length: _fired([rule], rule.find(events, length), F.lit(0))
+            frame = plan() if rule.rule_id in builtin_ids else _usable(rule, plan, errors)
             if frame is not None:
                 parts.append(frame)
 

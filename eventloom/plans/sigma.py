@@ -104,10 +104,12 @@ def _selection(name: str, fields, case_insensitive: bool) -> Column:
 # --- condition -------------------------------------------------------------------------
 
 
-def compile_condition(text: str, sets: Mapping[str, Column], compat: bool = False) -> Column:
-    """Terms joined by ``and`` and ``or``, ``and`` binding tighter. A term is a set name,
-    ``not`` name, ``1 of`` prefix or ``all of`` prefix. Unknown names are false."""
+def condition_terms(text: str, names: Iterable[str], compat: bool = False) -> list[list[tuple[str, list[str]]]]:
+    """Alternatives joined by ``or``, each a list of terms joined by ``and``: ("any" or "all" or
+    "not", set names). A term is a set name, ``not`` name, ``1 of`` prefix or ``all of`` prefix;
+    names that no set has are left out, and "any" and "all" of nothing are false."""
     words = text.split()
+    names = list(names)
     if not compat and any(c in text for c in "()|"):
         raise SigmaError(f"unsupported syntax in condition: {text}")
     at = 0
@@ -125,34 +127,44 @@ def compile_condition(text: str, sets: Mapping[str, Column], compat: bool = Fals
         if word() == "not":
             at += 1
             name = named()
-            if not compat and name.lower() in ("not", "1", "all") and name not in sets:
+            if not compat and name.lower() in ("not", "1", "all") and name not in names:
                 raise SigmaError(f"unsupported syntax in condition: {text}")
-            together.append(~sets.get(name, F.lit(False)))
-            at += 1
+            together.append(("not", [n for n in names if n == name]))
         elif word() in ("1", "all") and word(1) == "of":
-            combine = any_of if word() == "1" else all_of
+            kind = "any" if word() == "1" else "all"
             at += 2
             prefix = named().rstrip("*")
-            chosen = [c for n, c in sets.items() if n.startswith(prefix)]
+            chosen = [n for n in names if n.startswith(prefix)]
             if not compat and prefix == "them" and not chosen:
                 raise SigmaError(f"unsupported syntax in condition: {text}")
-            together.append(combine(chosen) if chosen else F.lit(False))
-            at += 1
+            together.append((kind, chosen))
         else:
-            together.append(sets.get(named(), F.lit(False)))
-            at += 1
+            together.append(("any", [n for n in names if n == named()]))
+        at += 1
         joined_by = word()
         if joined_by == "and":
             at += 1
             continue
-        alternatives.append(all_of(together))
+        alternatives.append(together)
         together = []
         if joined_by != "or":
             break
         at += 1
     if at < len(words) and not compat:
         raise SigmaError(f"words after the end of the condition: {text}")
-    return any_of(alternatives)
+    return alternatives
+
+
+def compile_condition(text: str, sets: Mapping[str, Column], compat: bool = False) -> Column:
+    """A condition over the sets' columns."""
+
+    def term(kind, chosen):
+        columns = [sets[n] for n in chosen]
+        if kind == "not":
+            return ~columns[0] if columns else F.lit(True)
+        return (any_of(columns) if kind == "any" else all_of(columns)) if columns else F.lit(False)
+
+    return any_of(all_of(term(*t) for t in together) for together in condition_terms(text, sets, compat))
 
 
 # --- rules -----------------------------------------------------------------------------
@@ -222,58 +234,98 @@ def load_rules(
 
 # --- rules as data ---------------------------------------------------------------------
 
-MATCHER_SCHEMA = (
-    "rule_id string, title string, severity string, event_type string, matcher string, field string, "
-    "modifier string, value string, needed int"
+TEST = "struct<modifier:string,value:string,matcher:int>"
+RULE_ROW = (
+    "struct<rule_id:string,severity:string,event_type:string,sets:array<struct<at:int,matchers:array<int>>>,"
+    "alternatives:array<struct<any:array<array<int>>,no:array<int>>>>"
 )
 
 
-def matcher_rows(rules: Iterable[Mapping]) -> list[tuple]:
-    """Rows (rule, matcher, field, modifier, value) of rules whose condition is the AND of all
-    their sets. ``matcher`` names one field test; ``needed`` is how many a rule has."""
-    out = []
-    for rule in rules:
-        detection = rule["detection"]
-        logsource = rule.get("logsource", {})
-        sets = {n: f for n, f in detection.items() if n not in ("condition", "timeframe")}
-        tests = [(f"{n}/{key}", key, value) for n, fields in sets.items() for key, value in fields.items()]
-        category = logsource.get("category")
-        event_type = SIGMA_LOGSOURCES.get(category if category is not None else logsource.get("service"))
-        severity = SIGMA_LEVELS.get(rule.get("level"), "Info")
-        for matcher, key, value in tests:
-            name, _, modifier = key.partition("|")
-            modifier = modifier if modifier in MODIFIERS else "exact"
-            for text in _texts(value):
-                out.append(
-                    (rule["id"], rule["title"], severity, event_type, matcher, name.lower(), modifier, text.lower(), len(tests))
-                )
-    return out
-
-
-def match_rule_table(events: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
-    """Simple rules as a table instead of columns, for thousands of them: ``rule_id``, ``seq``,
-    ``severity``. The table comes from the driver, so its size is known and it is broadcast;
-    events are expanded to the fields the rules use and joined on the field name."""
-    rows = matcher_rows(rules)
-    table = F.broadcast(events.sparkSession.createDataFrame(rows, MATCHER_SCHEMA))
-    names = sorted({r[5] for r in rows})
-    values = F.array(*[F.struct(F.lit(n).alias("field"), field_value(n).alias("text")) for n in names])
-    fields = events.select("seq", F.col("event_type").alias("_type"), F.explode(values).alias("_f")).select(
-        "seq", "_type", "_f.*"
-    )
-    text, value = F.col("text"), F.col("value")
-    hit = (
-        F.when(F.col("modifier") == "contains", F.contains(text, value))
-        .when(F.col("modifier") == "startswith", F.startswith(text, value))
-        .when(F.col("modifier") == "endswith", F.endswith(text, value))
-        .otherwise(text == value)
-    )
-    typed = F.col("event_type").isNull() | (F.col("event_type") == F.col("_type"))
-    return (
-        fields.join(table, "field")
-        .where(typed & hit)
-        .groupBy("seq", "rule_id", "severity", "needed")
-        .agg(F.count_distinct("matcher").alias("met"))
-        .where(F.col("met") == F.col("needed"))
-        .select("rule_id", "seq", "severity")
-    )
+def rule_data(rules: Iterable[Mapping], errors: dict[str, str] | None = None) -> tuple[dict[str, list], list[dict]]:
+    """Rules as data: the tests of each field, and rules whose sets name tests by number.
+
+    A rule that does not load is listed in ``errors`` and skipped; without such a table it raises.
+    """
+    tests: dict[str, list] = {}
+    rows, numbers = [], {}
+    for place, rule in enumerate(rules):
+        try:
+            head = compile_rule(rule)  # all checks of a compiled rule hold here too
+            detection = rule["detection"]
+            sets = [(n, f) for n, f in detection.items() if n not in ("condition", "timeframe")]
+            order = {name: i for i, (name, _) in enumerate(sets)}
+            alternatives = []
+            for together in condition_terms(detection["condition"], order):
+                groups, never = [], []
+                for kind, chosen in together:
+                    places = [order[n] for n in chosen]
+                    if kind == "not":
+                        never += places
+                    else:
+                        groups += [[p] for p in places] if kind == "all" and places else [places]
+                alternatives.append({"any": groups, "no": never})
+            placed = []
+            for name, fields in sets:
+                own = []
+                for key, value in fields.items():
+                    field, _, modifier = key.lower().partition("|")
+                    modifier = modifier if modifier in MODIFIERS else "exact"
+                    texts = tuple(t.lower() for t in _texts(value))
+                    matcher = numbers.get((field, modifier, texts))
+                    if matcher is None:
+                        matcher = numbers[field, modifier, texts] = len(numbers)
+                        tests.setdefault(field, []).extend({"modifier": modifier, "value": x, "matcher": matcher} for x in texts)
+                    own.append(matcher)
+                placed.append({"at": order[name], "matchers": own})
+        except Exception as error:
+            if errors is None:
+                raise
+            errors[str(rule.get("id") or rule.get("title") or f"rule {place}") if isinstance(rule, Mapping) else f"rule {place}"] = str(error)
+            continue
+        rows.append({
+            "rule_id": head.rule_id, "severity": head.branches[0].severity, "event_type": head.types[0] if head.types else None,
+            "sets": placed, "alternatives": alternatives,
+        })
+    return tests, rows
+
+
+def match_rule_table(events: DataFrame, rules: Sequence[Mapping], errors: dict[str, str] | None = None) -> DataFrame:
+    """Rules as constant data instead of columns, for thousands of them: ``rule_id``, ``seq``, ``severity``.
+
+    Each event tests its fields against the tests of that field only and then looks up which sets and conditions that
+    meets, inside one projection: no join, no shuffle and one output row per rule that fires.
+    """
+    tests, rows = rule_data(rules, errors)
+
+    def constant(value, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), f"array<{kind}>")
+
+    def met_by(text: Column, known: list) -> Column:
+        def hit(test):
+            found = F.lit(False)
+            for name in {t["modifier"] for t in known}:
+                holds = MODIFIERS[name](text, test["value"]) if name in MODIFIERS else text == test["value"]
+                found = F.when(test["modifier"] == name, holds).otherwise(found)
+            return found
+
+        return F.transform(F.filter(constant(known, TEST), hit), lambda t: t["matcher"])
+
+    fields = {f"_f{i}": field_value(name) for i, name in enumerate(tests)}
+    staged = events.select("seq", "event_type", *[c.alias(n) for n, c in fields.items()])
+    met = F.flatten(F.array(*[met_by(F.col(n), known) for n, known in zip(fields, tests.values())])) if tests else F.array().cast("array<int>")
+    staged = staged.select("seq", "event_type", met.alias("_met"))
+
+    def fires(rule):
+        # A set without tests holds for every event.
+        sets = F.transform(
+            F.filter(rule["sets"], lambda s: F.forall(s["matchers"], lambda m: F.array_contains(F.col("_met"), m))), lambda s: s["at"]
+        )
+        typed = rule["event_type"].isNull() | (rule["event_type"] == F.col("event_type"))
+        holds = F.exists(
+            rule["alternatives"],
+            lambda a: F.forall(a["any"], lambda group: F.arrays_overlap(group, sets)) & ~F.arrays_overlap(a["no"], sets),
+        )
+        return F.coalesce(typed & holds, F.lit(False))
+
+    fired = staged.select("seq", F.explode_outer(F.filter(constant(rows, RULE_ROW), fires)).alias("_rule")).where("_rule is not null")
+    return fired.select(F.col("_rule.rule_id").alias("rule_id"), "seq", F.col("_rule.severity").alias("severity"))

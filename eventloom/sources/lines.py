@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.normalize import is_json
+from ..operators.normalize import is_json, json_text
 from ..schema import SOURCE_TYPE
 
 WHITESPACE = " \t\r\n\f\x0b"
@@ -64,10 +64,14 @@ def _content(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("value") != "") & ~F.startswith("value", F.lit("//")))
 
 
+def json_lines(lines: DataFrame) -> DataFrame:
+    """The lines that hold one JSON value, without repeated keys."""
+    return _content(lines).withColumn("value", json_text(F.col("value"))).where("value is not null")
+
+
 def json_records(lines: DataFrame, received_at: Column | None = None) -> DataFrame:
     """JSON lines to raw records. Empty lines, ``//`` comments and invalid JSON are left out."""
-    good = _content(lines).where(is_json(F.col("value")))
-    return _records(good, source_column("json", F.col("file")), F.col("value"), received_at)
+    return _records(json_lines(lines), source_column("json", F.col("file")), F.col("value"), received_at)
 
 
 def bad_json_lines(lines: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def syslog_records(
     wrapped = F.to_json(
         F.struct(F.lit("syslog").alias("event_type"), F.col("value").alias("raw"), F.lit(default_host).alias("host"))
     )
-    raw = F.when(is_json(F.col("value")), F.col("value")).otherwise(wrapped)
+    raw = F.coalesce(json_text(F.col("value")), wrapped)
     source = source_column("syslog", default_host, facility=SYSLOG_FACILITY)
     return _records(lines.where(F.col("value") != ""), source, raw, received_at)
 

@@ -11,16 +11,15 @@ from .lines import DEFAULT_HOST, read_json_events, read_syslog_events
 from .packets import packet_records
 from .winlog import read_winlog_events
 
-SEQ_RANGE = 1 << 59  # arrival numbers of one kind; kinds follow each other
-
-
 def union_records(frames: Sequence[DataFrame]) -> DataFrame:
-    """Raw records of several readers; arrival numbers are kept apart by input order."""
+    """Raw records of any number of readers. Arrival numbers keep inputs in order: the upper bits name the input, as many as
+    the inputs need. A number too large for the rest is an error, never a collision."""
     if not frames:
         raise ValueError("no source: give at least one input")
-    shifted = [
-        f.withColumn("seq", F.col("seq") + F.lit(i * SEQ_RANGE)) if i else f for i, f in enumerate(frames)
-    ]
+    share = 1 << (63 - (len(frames) - 1).bit_length())
+    too_large = F.raise_error(F.concat(F.lit("seq does not fit below "), F.lit(share), F.lit(": "), F.col("seq"))).cast("bigint")
+    fits = F.col("seq").between(0, share - 1)
+    shifted = [f.withColumn("seq", F.when(fits, F.col("seq") + F.lit(i * share)).otherwise(too_large)) for i, f in enumerate(frames)]
     return reduce(DataFrame.unionByName, shifted)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..fixed_values import WINDOWS_FIELDS
 from ..functions.text import parse_u64
 from ..operators.normalize import JSON_OPTIONS, first_of_each_key, typed_map
-from .lines import _content, _records, is_json, read_lines, source_column
+from .lines import _records, json_lines, read_lines, source_column
 
 NUMBERS = ("BIG", "DEC", "DOU", "FLO")
 
@@ -101,8 +101,7 @@ def flatten_records(df: DataFrame, raw: str, out: str = "flat") -> DataFrame:
 
 
 def winlog_records(lines: DataFrame, received_at: Column | None = None) -> DataFrame:
-    good = _content(lines).where(is_json(F.col("value")))
-    flat = flatten_records(good, "value")
+    flat = flatten_records(json_lines(lines), "value")
     return _records(flat, source_column("evtx", F.col("file"), channel=""), F.col("flat"), received_at)
 
 

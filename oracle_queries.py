@@ -119,6 +119,7 @@ lateral_rows AS (
 """
 
 
+DISABLED_RULES = ["PS-LATERAL-001", "EXEC-LOLBIN-001", "NET-BEACON-001"]
 CLASSIFY_IDS = [*V.EVENT_ID_TYPES, 9999]
 
 # Rules of the sigma_* queries and, under the same name, the predicate they should compile to.
@@ -237,7 +238,7 @@ def stream_sql() -> dict[str, str]:
         "sigma_rule_table": with_view(
             " UNION ALL ".join(
                 f"SELECT '{n}' AS rule_id, seq, {q(SIGMA_SQL[n][0])} AS severity FROM ev WHERE {SIGMA_SQL[n][2]}"
-                for n in ("contains_list", "selection_and", "exact_field")
+                for n in SIGMA_RULES
             )
         ),
     }
@@ -423,6 +424,17 @@ def oracle_queries() -> dict[str, str]:
             f"SELECT seq, host, n AS total, n - bytes AS before FROM {SUMMED} WHERE n >= 500000000 AND n // 500000000 > (n - bytes) // 500000000"
         ),
         "cooccurrence": with_view("SELECT seq, p_seq, n_seq FROM lateral_rows", LATERAL_CTE),
+        "cooccurrence_default_window": with_view(
+            "SELECT seq, p_seq, n_seq FROM lateral_rows", LATERAL_CTE.replace(str(W), str(V.DEFAULT_WINDOW_SECS * 1_000_000))
+        ),
+        "rules_disabled": with_view(
+            f"SELECT rule_id, seq, severity, score, evidence FROM det WHERE rule_id NOT IN ({', '.join(map(q, DISABLED_RULES))})", ALL_DETECTIONS_CTE
+        ),
+        "rules_bad_isolated": sigma_sql("contains_list"),
+        "union_sources": with_view(
+            "SELECT t AS event_type, CAST(c * (SELECT count(*) FROM ev0) AS BIGINT) AS events, CAST(c * (SELECT count(*) FROM ev0) AS BIGINT) AS numbers"
+            " FROM (VALUES ('login_failure', 9), ('unknown', 8)) x(t, c)"
+        ),
         "preceding_failures": with_view(f"SELECT seq, n FROM {FAILED} WHERE n >= 3"),
         "preceded_by_type": with_view(f"SELECT seq, found AS present FROM {PRECEDED}"),
         "host_filter": with_view("SELECT seq, host, event_type FROM ev WHERE lower(host) IN ('h3', 'h7')"),

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from eventloom.fixed_values import RULE_HEADS, THREAT_BANDS
@@ -12,7 +13,7 @@ from eventloom.plans import sigma
 from eventloom.plans.builtin import builtin_rules
 from eventloom.plans.custom import context_rule
 from eventloom.plans.detect import detect, rule_set
-from eventloom.plans.rules import Branch, LevelRule, RuleSet, StatelessRule
+from eventloom.plans.rules import Branch, FrameRule, LevelRule, RuleSet, StatelessRule
 from eventloom.schema import DETECTION_SCHEMA, threat_level
 from eventloom.sources.lines import json_records
 
@@ -298,6 +299,10 @@ def test_rules_as_data_agree_with_columns(spark):
         {"id": "B", "title": "B", "level": "low", "logsource": {},
          "detection": {"s": {"host|endswith": "1"}, "t": {"cmd|startswith": "e"}, "condition": "s and t"}},
         {"id": "C", "title": "C", "logsource": {}, "detection": {"s": {"missing": ""}, "condition": "s"}},
+    ] + [
+        {"id": c, "title": c, "level": "low", "logsource": {}, "detection": {
+            "s": {"user": ["amy", "bob"], "host": "h1"}, "t": {"cmd|contains": "evil"}, "t2": {"cmd|contains": ["bad", "evil"]}, "condition": c}}
+        for c in ("s and not t", "not s", "not nosuch", "t or s and not t2", "1 of t*", "all of t*", "all of x*", "nosuch", "s and t or not t2")
     ]
     records = [
         {"event_type": "process_creation", "cmd": "evil bad", "user": "Bob", "host": "h1"},
@@ -309,7 +314,13 @@ def test_rules_as_data_agree_with_columns(spark):
     columns = {
         (r.rule_id, r.trigger_seq, r.severity) for r in detect(events, sigma.load_rules(texts=rules)).collect()
     }
-    assert table == columns and ("A", 0, "High") in table
+    assert table == columns and ("A", 0, "High") in table and ("s and not t", 1, "Low") in table
+    errors = {}
+    bad = [{"title": "no condition", "logsource": {}, "detection": {"s": {"a": "b"}}}, {"id": "L", "title": "L", "logsource": {}, "detection": {"s": ["x"], "condition": "s"}}, "text"]
+    assert {tuple(r) for r in sigma.match_rule_table(events, rules + bad, errors).collect()} == table and len(errors) == 3
+    with pytest.raises(sigma.SigmaError):
+        sigma.match_rule_table(events, bad[:1])
+    assert sigma.match_rule_table(events, []).count() == 0
 
 
 # --- custom rules ----------------------------------------------------------------------
@@ -336,12 +347,26 @@ def test_custom_rules(spark):
     assert got["MY-USER"] == [(3, "root")]
     assert sorted(got["MY-USERS"]) == [(3, "2"), (4, "2")]
     assert list(rules.errors) == ["MY-BAD"]
+    with pytest.raises(AnalysisException):
+        detect(normal(spark, records), [broken, odd_user])  # nobody could read what is recorded
     with pytest.raises(Exception):
         detect(normal(spark, records), rules, strict=True)
     assembled = rule_set(sigma.load_rules(texts=["bad"]), [odd_user], disabled=["PS-LATERAL-001"])
     assert len(assembled) == len(builtin_rules()) and assembled.errors
 
 
+def test_failing_jobs_and_broken_built_ins_raise(spark):
+    def job(events, window_secs):
+        return events.select(F.raise_error(F.lit("lost"))).collect()
+
+    with pytest.raises(PySparkException):
+        detect(normal(spark, [{"event_type": "x", "host": "a"}]), RuleSet([FrameRule("MY-JOB", "Job", find=job)]))
+    own = next(r for r in builtin_rules() if isinstance(r, FrameRule))
+    gone = FrameRule(own.rule_id, own.name, find=lambda events, window_secs: events.select("no_such_column"))
+    with pytest.raises(AnalysisException):
+        detect(normal(spark, [{"event_type": "x", "host": "a"}]), RuleSet([gone]))
+
+
 def test_sinks(spark, tmp_path):
     events = normal(spark, [SHELL])
     found = detect(events)

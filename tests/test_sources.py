@@ -6,10 +6,10 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators.normalize import is_json, json_object, normalize, with_flat_map
+from eventloom.operators.normalize import is_json, json_object, json_text, normalize, with_flat_map
 from eventloom.sources.lines import bad_json_lines, json_records, read_json_events, read_lines, read_syslog_events
 from eventloom.sources.packets import decode_packets, packet_records
-from eventloom.sources.union import read_sources
+from eventloom.sources.union import read_sources, union_records
 from eventloom.sources.winlog import flatten_records, read_winlog_events
 
 def received():
@@ -30,7 +30,8 @@ def test_json_validity(spark):
     cases = {
         '{"a":1}': True, "{}": True, "5": True, '"x"': True, "null": True, "[1,2]": True, '[{"a":1}]': True,
         '{"a":1,"a":2}': True, '{"a":1} junk': False, '{"a":1}{"b":2}': False, '{"a":1},{"b":2}': False,
-        "{bad": False, "{'a':1}": False, '{"a":NaN}': False, '{"a":01}': False, "1,2": False, "": False,
+        "{bad": False, '{"a":1}]': False, '{"a":1}] tail': False, "1} tail": False, '[{"a":1,"a":{"b":NaN}}]': False, '[{"a":1,"a":2}]': True,
+         "{'a':1}": False, '{"a":NaN}': False, '{"a":01}': False, "1,2": False, "": False,
     }
     df = spark.createDataFrame([(c,) for c in cases], "raw string")
     got = {r.raw: r.ok for r in df.select("raw", is_json(F.col("raw")).alias("ok")).collect()}
@@ -117,9 +118,9 @@ def test_flatten(spark):
         ('{"b":{"k":"2"},"a":{"k":"1"},"s":"{\\"not\\":\\"parsed\\"}"}',
          {"b.k": "2", "a.k": "1", "k": "1", "s": '{"not":"parsed"}'}),
         ("[1]", {}), ("5", {}), ("{}", {}),
-        ('{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}}}', {"a.b.c.d.e.f": '{"g":1}'}),
+        ('{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}}}', {"a.b.c.d.e.f.g": "1", "g": "1"}),
     ]
-    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw string")
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw string").withColumn("raw", json_text(F.col("raw")))
     got = {r.i: r.m for r in with_flat_map(df.withColumn("top", json_object(F.col("raw"))), "raw", "top", "m").collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
@@ -254,3 +255,36 @@ def test_union_keeps_arrivals_apart(spark, tmp_path):
         spark, json=[str(tmp_path / "a.json"), str(tmp_path / "b.json")], syslog=[str(tmp_path / "s.log")]
     )
     assert out.count() == 5 and out.select("seq").distinct().count() == 5
+
+
+def test_union_of_twenty_inputs_keeps_their_order(spark):
+    frame = spark.range(3).select(F.col("id").alias("seq"), F.lit("x").alias("raw"))
+    parts = [frame.withColumn("raw", F.lit(str(i))) for i in range(20)]
+    got = [(r.raw, r.seq) for r in union_records(parts).orderBy("seq").collect()]
+    assert [int(k) for k, _ in got] == [i for i in range(20) for _ in range(3)] and len({s for _, s in got}) == 60
+    with pytest.raises(Exception, match="does not fit"):
+        union_records([frame, frame.withColumn("seq", F.lit(1 << 62))]).collect()
+
+
+def test_repeated_keys_and_any_depth(spark):
+    deep = '{"cmd":"deep","n":1.50,"list":["x",{"y":1},null,2],"z":{},"v":null}'
+    for key in "gfedcba":
+        deep = f'{{"{key}":{deep}}}'
+    records = [
+        '{"host":"a","host":"b"}', '{"x":1,"event_type":"dns_query","x":2}', '{"host":"a","host":"b","n":{"z":1}}', '{"n":{"b":1,"b":2}}', deep,
+    ]
+    got = events(spark, records)
+    assert got[0].host == "b" and got[1].event_type == "dns_query" and got[1].metadata["x"] == "2"
+    assert got[2].host == "b" and got[2].metadata["z"] == "1" and got[3].metadata["n.b"] == "2"
+    path = "a.b.c.d.e.f.g"
+    assert got[4].cmd == "deep" and got[4].metadata[f"{path}.cmd"] == "deep" and got[4].metadata[f"{path}.n"] == "1.5"
+    assert got[4].metadata[f"{path}.list"] == "x,2" and not any(v.startswith("{") for v in got[4].metadata.values())
+    twice = '{"Event":{"System":{"EventID":4625,"EventID":4624,"Computer":"PC1"},"EventData":{"IpAddress":"1.2.3.4","IpAddress":"5.6.7.8"}}}'
+    row = normalize(winlog_of(spark, [twice])).collect()[0]
+    assert (row.event_type, row.host, row.source_ip) == ("login_success", "PC1", "5.6.7.8")
+
+
+def winlog_of(spark, records):
+    from eventloom.sources.winlog import winlog_records
+
+    return winlog_records(raw_frame(spark, records), received())
