@@ -58,7 +58,7 @@ def similar(both: Column, n_x: Column, n_y: Column, num: int, den: int) -> Colum
 
 def shingle_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Per row: doc_id, n (size of the set), cid (class), head (its first tokens under the order of hashes)."""
-    share = (den - num) / den / 2
+    share = (den - num) / den
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,8 +77,14 @@ def shingle_classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def _survivors(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Classes (cid) of whose first tokens enough stand among those of other classes."""
-    share = (den - num) / den / 2
-    heads = stored(classes.where("n > 0").select("cid", "n", "head").dropDuplicates(["cid"]), "heads")
+    share = (den - num) / den
+    # One row stands for each class; the rows beside it are few unless copies are many, then they are joined by a shuffle.
+    sets = classes.where("n > 0")
+    place = F.struct("doc_id", "at")
+    first = sets.groupBy("cid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
+    extra = sets.join(first.where("rows > 1").select("cid", "first"), "cid").where(F.struct("doc_id", "at") != F.col("first"))
+    extra = stored(extra.select(F.col("at").alias("beside")), "copies")
+    heads = sets.join(small_side(extra, 16), F.col("at") == F.col("beside"), "left_anti")
     tokens = heads.select("cid", "n", F.explode("head").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
     n = F.col("n")
@@ -176,7 +182,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     without an identifier have no component (null). Rows that repeat an identifier stand for their own texts. An empty
     table gives an empty result.
     """
-    classes = stored(shingle_classes(docs, k, num, den), "classes")
+    classes = stored(shingle_classes(docs, k, num, den).withColumn("at", F.monotonically_increasing_id()), "classes")
     ordered = _ordered(_whole_sets(docs, classes, _survivors(classes, num, den), k), num, den)
     roots = _class_components(ordered, num, den).withColumnRenamed("node", "cid")
     rows = classes.select("doc_id", "n", "cid").join(small_side(roots, 16), "cid", "left")
