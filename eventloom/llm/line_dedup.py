@@ -24,6 +24,10 @@ def line_hash(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
+#: Rows of one bucket of a run.
+BUCKET_ROWS = 500_000
+
+
 class LineRuns:
     """Levels of runs (key, n_docs, last_doc, fresh). Tables lie in the shared folder; equal settings give equal runs."""
 
@@ -96,7 +100,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40,
     keys = keys.select(line_hash(F.col("key")).alias("key"), "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
     keys = stored(keys, "lines", "batch")
 
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, buckets=1 + keys.count() // BUCKET_ROWS)
     for batch in range(batches):
         runs.add(keys.where(F.col("batch") == batch).select("key", "doc_id"))
     repeated = stored(runs.whole().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "repeated-lines")
