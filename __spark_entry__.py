@@ -18,12 +18,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from eventloom import fixed_values as V  # noqa: E402
 from eventloom.driver_view import WINDOW_SECS, driver_view, project_events  # noqa: E402
-from eventloom.functions.text import contains_any, lowered  # noqa: E402
+from eventloom.functions.text import contains_any, is_private_ip, lowered  # noqa: E402
 from eventloom.operators import context, report  # noqa: E402
 from eventloom.operators.cooccurrence import co_occurrence  # noqa: E402
 from eventloom.operators.normalize import host_filter, normalize  # noqa: E402
 from eventloom.plans import sigma  # noqa: E402
 from eventloom.plans.builtin import builtin_rules  # noqa: E402
+from eventloom.plans.custom import context_rule  # noqa: E402
 from eventloom.plans.detect import detect  # noqa: E402
 from eventloom.plans.rules import Branch, RuleSet, StatelessRule  # noqa: E402
 from eventloom.session import checkpoint_dir  # noqa: E402
@@ -139,7 +140,30 @@ def _report_queries() -> dict[str, Query]:
         header = report.report_header(events, detect(events, window_secs=WINDOW_SECS))
         return header.select("events_processed", "score.score", "score.threat_level", "summary.*")
 
+    def report_json(spark, sf_dir):
+        events = _events(spark, sf_dir)
+        text = report.report_json(report.report_header(events, detect(events, window_secs=WINDOW_SECS)))
+        part = lambda path: F.get_json_object("report", f"$.{path}")
+        return text.select(
+            part("events_processed").cast("bigint").alias("events_processed"), part("score.threat_level").alias("threat_level"),
+            part("summary.total").cast("bigint").alias("total"), part("summary.critical").cast("bigint").alias("critical"),
+        )
+
+    def detections_sink(spark, sf_dir):
+        path = f"{checkpoint_dir(_utc(spark))}/detections-{uuid.uuid4().hex}"
+        report.write_detections(_all(spark, sf_dir), path)
+        return _rows(spark.read.parquet(path))
+
+    def custom_rule(spark, sf_dir):
+        """A rule in Python over the window's login failures of a host."""
+        evaluate = lambda event, context: ("Low", [f"{len(context)} in window"]) if len(context) % 10 == 0 else None
+        rule = context_rule("MY-BURST", "Burst", evaluate, keys=["host"], columns=[], types=["login_failure"])
+        return _rows(detect(_events(spark, sf_dir), RuleSet([rule]), WINDOW_SECS)).select("seq", "evidence")
+
     return {
+        "report_json": report_json,
+        "detections_sink": detections_sink,
+        "custom_rule": custom_rule,
         "host_filter": lambda spark, sf: host_filter(_events(spark, sf), ["h3", "H7"]).select("seq", "host", "event_type"),
         "events_by_source": lambda spark, sf: report.events_by_source(_events(spark, sf)),
         "detections": lambda spark, sf: _rows(_all(spark, sf)),
@@ -254,6 +278,21 @@ def _source_queries() -> dict[str, Query]:
             m["protocol"].alias("protocol"), "query",
         )
 
+    def timestamps(spark, sf_dir):
+        """Each of the timestamp keys, and texts that are none."""
+        key = F.get(F.array(*[F.lit(n) for n in V.TIMESTAMP_KEYS]), k() % len(V.TIMESTAMP_KEYS))
+        shown = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+        value = F.concat(F.lit('{"'), key, F.lit('":"'), F.when(k() % 7 == 0, "yesterday").otherwise(shown), F.lit('"}'))
+        out = normalize(json_records(_sample_lines(spark, sf_dir, value), F.lit("2000-01-01").cast("timestamp")))
+        return out.select("seq", "us")
+
+    def private_ip(spark, sf_dir):
+        forms = ["10.{}.1.1", "172.{}.0.1", "192.168.{}.9", "127.0.0.{}", "169.254.1.{}", "fe80::{}", "17{}.20.1.1", "{}.8.8.8"]
+        parts = [f.split("{}") for f in forms]
+        ip = F.get(F.array(*[F.concat(F.lit(a), text(k()), F.lit(b)) for a, b in parts]), F.col("user_id").cast("int") % len(forms))
+        table = _utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+        return table.select(F.col("event_id").alias("seq"), ip.alias("ip"), is_private_ip(ip).alias("private"))
+
     def union_sources(spark, sf_dir):
         """Seventeen inputs of two kinds."""
         records = json_records(_sample_lines(spark, sf_dir, F.lit('{"event_type":"login_failure"}')), F.col("ts"))
@@ -261,7 +300,7 @@ def _source_queries() -> dict[str, Query]:
         out = normalize(union_records([records, lines] * 8 + [records]))
         return out.groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("seq").alias("numbers"))
 
-    return {f.__name__: f for f in (union_sources, json_flatten_alias, classify, json_lines, syslog_lines, windows_records, packets)}
+    return {f.__name__: f for f in (union_sources, timestamps, private_ip, json_flatten_alias, classify, json_lines, syslog_lines, windows_records, packets)}
 
 
 def _sigma_queries() -> dict[str, Query]:

@@ -289,10 +289,13 @@ def normalize(
 
     ``numeric_level_text`` lets a level given as text count, as exported Windows records have
     it; ``extended_aliases`` knows the lower-cased Windows names. Both are off by default.
+    Event ids come from source, content and arrival number, or from ``occurrence`` in its place
+    where ``number_repeats`` has added it.
     """
     record = F.col("raw")
+    place = F.col("occurrence" if "occurrence" in raw.columns else "seq")
     parsed = raw.select(
-        "source", "seq", "received_at", "raw",
+        "source", "seq", "received_at", "raw", place.cast("string").alias("_place"),
         typed_fields(record).alias("_typed"), json_object(record).alias("_top"),
     )
     parsed = with_flat_map(parsed, "raw", "_top", "_flat")
@@ -304,7 +307,7 @@ def normalize(
         "source",
         "seq",
         F.sha2(
-            F.concat_ws("|", F.col("source.kind"), F.col("source.name"), F.col("seq").cast("string"), "raw"), 256
+            F.concat_ws("|", F.col("source.kind"), F.col("source.name"), "_place", "raw"), 256
         ).alias("event_id"),
         F.coalesce(extract_timestamp(typed), F.col("received_at")).alias("ts"),
         classify_type(_string_field(typed, "event_type"), _unsigned_field(typed, top, "EventID")).alias("_type"),

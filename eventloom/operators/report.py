@@ -91,11 +91,14 @@ def write_detections(detections: DataFrame, path: str, fmt: str = "parquet", mod
     detections.write.format(fmt).mode(mode).save(path)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_events(events: DataFrame, path: str, mode: str = "errorifexists", files_per_day: int = 4) -> None:
     """Store normalised events by type and day, so that each rule family reads only its own
-    types and any time filter prunes whole folders."""
+    types and any time filter prunes whole folders. A type's day goes to ``files_per_day`` tasks,
+    and so to as many files, however many tasks read the input."""
+    salt = F.pmod(F.xxhash64("seq"), F.lit(files_per_day))
     (
         events.withColumn("day", F.to_date("ts"))
+        .repartition("event_type", "day", salt)
         .write.partitionBy("event_type", "day")
         .mode(mode)
         .parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.normalize import is_json, json_text
 from ..schema import SOURCE_TYPE
@@ -60,6 +60,24 @@ def _records(lines: DataFrame, source: Column, raw: Column, received_at: Column
     )
 
 
+def number_repeats(raw: DataFrame) -> DataFrame:
+    """Adds ``occurrence``: which one of the equal records of its source a record is. With it, ``normalize`` derives event
+    ids from content alone, so that they do not depend on how files were split.
+
+    Equal records are first numbered within stretches of ``seq``, then the stretches are put behind each other, so that a
+    record which makes up much of a source is spread.
+    """
+    same = ["_content", "_stretch"]
+    keyed = raw.withColumns({
+        "_content": F.xxhash64("source.kind", "source.name", "raw"), "_stretch": F.shiftright("seq", 16),
+    })
+    near = Window.partitionBy(*same).orderBy("seq")
+    ahead = Window.partitionBy("_content").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = keyed.groupBy(*same).count().select(*same, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"))
+    numbered = keyed.withColumn("_at", F.row_number().over(near)).join(before, same)
+    return numbered.select(*raw.columns, (F.col("_before") + F.col("_at")).alias("occurrence"))
+
+
 def _content(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("value") != "") & ~F.startswith("value", F.lit("//")))
 

@@ -1,13 +1,12 @@
 """Packet tables: rows of ``ts`` and ``data`` (an Ethernet frame), decoded by column expressions.
 
-Headers are read from the hexadecimal text of the frame. Only the DNS question name, whose
-length is in the data, goes through an Arrow batch function, and only for DNS packets.
+Headers are read from the hexadecimal text of the frame. The DNS question name, whose
+length is in the data, is a fold over the message's bytes, and only DNS packets have one.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .lines import source_column
 
@@ -36,31 +35,34 @@ def _ipv6_text(text: Column, at: Column) -> Column:
     return F.lower(F.concat_ws(":", *[_hex(text, at + 2 * i, 2) for i in range(8)]))
 
 
-@F.pandas_udf(T.StringType())
-def dns_question_name(message: pd.Series) -> pd.Series:
-    """Labels of the first question joined by dots; null when there are none or they overrun."""
-
-    def decode(data):
-        if data is None or len(data) <= DNS_HEADER_BYTES:
-            return None
-        at, labels = DNS_HEADER_BYTES, []
-        while True:
-            if at >= len(data):
-                return None
-            size = data[at]
-            if size == 0 or size >= 0xC0:
-                break
-            label = data[at + 1 : at + 1 + size]
-            if len(label) < size:
-                return None
-            try:
-                labels.append(bytes(label).decode("utf-8"))
-            except UnicodeDecodeError:
-                return None
-            at += 1 + size
-        return ".".join(labels) or None
-
-    return message.map(decode, na_action=None)
+def dns_question_name(message: Column) -> Column:
+    """Labels of the first question joined by dots; null when there are none or they overrun.
+
+    A walk over the bytes with the offset as state; a label takes two bytes at least, which bounds the steps.
+    """
+    size_of = F.length(message)
+    walking, ended, broken = F.lit(0), F.lit(1), F.lit(2)
+
+    def state(at, text, phase):
+        return F.struct(at.cast("int").alias("at"), text.cast("string").alias("text"), phase.cast("int").alias("phase"))
+
+    def step(s, _):
+        size = F.conv(F.hex(F.substr(message, s["at"] + 1, F.lit(1))), 16, 10).cast("int")
+        label = F.substr(message, s["at"] + 2, size)
+        shown = label.cast("string")
+        whole = (F.length(label) == size) & F.is_valid_utf8(shown)
+        joined = F.when(s["at"] == DNS_HEADER_BYTES, shown).otherwise(F.concat(s["text"], F.lit("."), shown))
+        return (
+            F.when(s["phase"] != walking, s)
+            .when(s["at"] >= size_of, state(s["at"], s["text"], broken))
+            .when((size == 0) | (size >= 0xC0), state(s["at"], s["text"], ended))
+            .when(whole, state(s["at"] + 1 + size, joined, walking))
+            .otherwise(state(s["at"], s["text"], broken))
+        )
+
+    steps = F.sequence(F.lit(0), F.call_function("div", size_of - DNS_HEADER_BYTES, F.lit(2)).cast("int") + 1)
+    name = F.aggregate(steps, state(F.lit(DNS_HEADER_BYTES), F.lit(""), walking), step, lambda s: F.when((s["phase"] == ended) & (s["text"] != ""), s["text"]))
+    return F.when(size_of > DNS_HEADER_BYTES, name)
 
 
 def decode_packets(packets: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def decode_packets(packets: DataFrame) -> DataFrame:
         F.when(is_dns, message).alias("_dns"),
         is_dns.alias("_is_dns"),
     ).withColumn(
-        "query", F.when(F.col("_is_dns"), F.coalesce(dns_question_name("_dns"), F.lit("")))
+        "query", F.when(F.col("_is_dns"), F.coalesce(dns_question_name(F.col("_dns")), F.lit("")))
     ).drop("_dns", "_is_dns")
 
 

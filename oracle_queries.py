@@ -430,6 +430,20 @@ def oracle_queries() -> dict[str, str]:
         "rules_disabled": with_view(
             f"SELECT rule_id, seq, severity, score, evidence FROM det WHERE rule_id NOT IN ({', '.join(map(q, DISABLED_RULES))})", ALL_DETECTIONS_CTE
         ),
+        "report_json": with_view(
+            f"SELECT (SELECT count(*) FROM ev) AS events_processed, {LEVEL} AS threat_level, total, critical"
+            f" FROM (SELECT CAST(sum(score) AS BIGINT) AS score, {SUMMARY} FROM det)",
+            ALL_DETECTIONS_CTE,
+        ),
+        "detections_sink": with_view("SELECT rule_id, seq, severity, score, evidence FROM det", ALL_DETECTIONS_CTE),
+        "custom_rule": with_view(f"SELECT seq, n || ' in window' AS evidence FROM {counted('host', FAILURE)} WHERE n % 10 = 0"),
+        "timestamps": with_view("SELECT seq, CASE WHEN k % 7 = 0 THEN epoch_us(TIMESTAMP '2000-01-01') ELSE us END AS us FROM ev0"),
+        "private_ip": (
+            "SELECT seq, ip, regexp_matches(ip, '^(10\\.|127\\.|169\\.254\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS private FROM ("
+            "SELECT event_id AS seq, CASE user_id % 8 WHEN 0 THEN '10.' || k || '.1.1' WHEN 1 THEN '172.' || k || '.0.1' WHEN 2 THEN '192.168.' || k || '.9'"
+            " WHEN 3 THEN '127.0.0.' || k WHEN 4 THEN '169.254.1.' || k WHEN 5 THEN 'fe80::' || k WHEN 6 THEN '17' || k || '.20.1.1' ELSE k || '.8.8.8' END AS ip"
+            " FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events))"
+        ),
         "rules_bad_isolated": sigma_sql("contains_list"),
         "union_sources": with_view(
             "SELECT t AS event_type, CAST(c * (SELECT count(*) FROM ev0) AS BIGINT) AS events, CAST(c * (SELECT count(*) FROM ev0) AS BIGINT) AS numbers"

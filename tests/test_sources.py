@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators.normalize import is_json, json_object, json_text, normalize, with_flat_map
-from eventloom.sources.lines import bad_json_lines, json_records, read_json_events, read_lines, read_syslog_events
+from eventloom.sources.lines import bad_json_lines, json_records, number_repeats, read_json_events, read_lines, read_syslog_events
 from eventloom.sources.packets import decode_packets, packet_records
 from eventloom.sources.union import read_sources, union_records
 from eventloom.sources.winlog import flatten_records, read_winlog_events
@@ -288,3 +288,15 @@ def winlog_of(spark, records):
     from eventloom.sources.winlog import winlog_records
 
     return winlog_records(raw_frame(spark, records), received())
+
+
+def test_ids_do_not_depend_on_splits(spark, tmp_path):
+    path = tmp_path / "many.json"
+    path.write_text("".join(f'{{"event_type":"login_failure","host":"h{i % 7}"}}\n' for i in range(3000)))
+    ids = []
+    for size in ("4k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        raw = number_repeats(read_json_events(spark, str(path), received_at=received()))
+        ids.append(sorted(r.event_id for r in normalize(raw).select("event_id").collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(set(ids[0])) == 3000
