@@ -84,6 +84,18 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[/?(SYS|INST|ANS|ROLE)\]|\[END\]'))
+           + CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 13 WHEN 'assistant' THEN 15 ELSE 18 + length(role) END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 MIXING_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -112,4 +124,4 @@ FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.seed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op2_exact_dedup": EXACT_SQL, "op7_chat_format": CHAT_SQL, "op8_mixing": MIXING_SQL}
