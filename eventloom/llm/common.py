@@ -159,16 +159,11 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain in practice. Every round is written to the shared folder.
     """
     both = stored(links.select("x", "y").union(links.select("y", "x")).where("x <> y").distinct(), "links")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")
-    while True:
-        seen = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("root").alias("near"))
-        near = labels.join(seen, labels["node"] == seen["x"]).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        near = stored(near, "labels")
-        roots = near.select(F.col("node").alias("at"), F.col("root").alias("up"))
-        labels = stored(
-            near.join(roots, near["root"] == roots["at"], "left").select("node", F.least("root", "up").alias("root"), (F.col("was") != F.least("root", "up")).alias("moved")),
-            "labels",
-        )
-        if not labels.where("moved").limit(1).count():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("root"), F.lit(True).alias("moved")), "labels")
+    while labels.where("moved").limit(1).count():
+        seen = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("root").alias("least"))
+        near = labels.join(seen, labels["node"] == seen["x"]).select("node", F.col("root").alias("was"), F.least("root", "least").alias("root"))
+        roots = labels.select(F.col("node").alias("at"), F.col("root").alias("up"))
+        root = F.least("root", "up")
+        labels = stored(near.join(roots, near["root"] == roots["at"], "left").select("node", root.alias("root"), (F.col("was") != root).alias("moved")), "labels")
+    return labels.select("node", "root")

@@ -10,8 +10,10 @@ all documents, and at least l tokens among the first n - ceil(t n) + l. This is
    broken by different hashes, candidates come from the first order and must meet in the others too before the sets are
    compared in full.
 
-Pairs are not expanded within large groups: a class is first compared with the most central class of each of its tokens;
-then only classes of different components still meet, all of them, so that no link that matters is lost.
+Pairs are not expanded within large groups: a class is first compared with the most central class of each of its tokens,
+then with another; after that only classes of different components still meet, all of them, so that no link that matters
+is lost. Where classes meet, a bitmap of each set gives a lower bound of how many tokens two sets do not share, and pairs
+that it shows to be apart are never made.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from eventloom.llm.common import batches_of_texts, components, shingle_hashes, s
 
 ORDERS = 3
 STAR_ROUNDS = 2
+#: Words of 64 bits in a set's bitmap: each token flips one bit, so two bitmaps differ in no more bits than the sets in tokens.
+BITMAP = 4
+BITS = [f"bits{i}" for i in range(BITMAP)]
 
 
 def _sets(texts: pd.Series, k: int) -> Iterator[np.ndarray]:
@@ -42,6 +47,11 @@ def _class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _bitmap(tokens: np.ndarray) -> list[int]:
+    odd = np.bincount((tokens.view(np.uint64) >> np.uint64(7)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _extra(n, share: float):
     """l: how many tokens must meet among the first ones under the order of hashes."""
     return np.maximum(1, np.floor(n * share)) if not isinstance(n, Column) else F.greatest(F.lit(1), F.floor(n * share))
@@ -94,17 +104,17 @@ def _survivors(classes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) -> DataFrame:
-    """The whole sets of the classes, from one document of each: cid, n, tokens."""
+    """The whole sets of the classes, from one document of each: cid, n, tokens and the bitmap."""
     wanted = stored(classes.select("cid", "doc_id").where("doc_id is not null").join(cids, "cid").groupBy("cid").agg(F.min("doc_id").alias("of")), "wanted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(c, len(t), t) for c, t in zip(batch["cid"], _sets(batch["content"], k)) if c == _class_of(t)]
-            yield pd.DataFrame(rows, columns=["cid", "n", "tokens"])
+            rows = [(c, len(t), t, *_bitmap(t)) for c, t in zip(batch["cid"], _sets(batch["content"], k)) if c == _class_of(t)]
+            yield pd.DataFrame(rows, columns=["cid", "n", "tokens", *BITS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("content"))
     joined = rows.join(small_side(wanted, 24), rows["doc_id"] == wanted["of"]).select("cid", "content")
-    return stored(joined.mapInPandas(run, "cid long, n long, tokens array<long>").dropDuplicates(["cid"]), "sets")
+    return stored(joined.mapInPandas(run, f"cid long, n long, tokens array<long>, {', '.join(b + ' long' for b in BITS)}").dropDuplicates(["cid"]), "sets")
 
 
 def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -113,9 +123,10 @@ def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     Tokens of no other class come first in every order; a class with so many that none of the others is among its first
     tokens has no link.
     """
-    tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
+    tokens = sets.select("cid", F.explode("tokens").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = tokens.join(frequent, "token").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "token")).alias("held"))
+    held = tokens.join(frequent, "token").groupBy("cid").agg(F.collect_list(F.struct("df", "token")).alias("held"))
+    held = held.join(sets.select("cid", "n", *BITS), "cid")
     u = F.col("n") - F.size("held")
     first = (F.col("n") - _least(F.col("n"), num, den) + 1 - u).cast("int")
 
@@ -125,7 +136,7 @@ def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
         return F.transform(F.slice(F.array_sort(keyed), F.lit(1), first), lambda t: t["token"])
 
     kept = held.where(first > 0)
-    return stored(kept.select("cid", "n", u.alias("u"), F.transform("held", lambda t: t["token"]).alias("tokens"), *[prefix(i).alias(f"p{i}") for i in range(ORDERS)]), "prefixes")
+    return stored(kept.select("cid", "n", u.alias("u"), *BITS, F.transform("held", lambda t: t["token"]).alias("tokens"), *[prefix(i).alias(f"p{i}") for i in range(ORDERS)]), "prefixes")
 
 
 def _links(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFrame:
@@ -144,13 +155,15 @@ def _links(pairs: DataFrame, ordered: DataFrame, num: int, den: int) -> DataFram
 
 def _class_components(ordered: DataFrame, num: int, den: int) -> DataFrame:
     """Classes with links to the smallest class they reach: node, root."""
-    tokens = stored(ordered.select("cid", "n", "u", F.explode("p0").alias("token")), "first-tokens")
+    tokens = stored(ordered.select("cid", "n", "u", *BITS, F.explode("p0").alias("token")), "first-tokens")
     links = roots = None
 
     def possible(x: str, y: str) -> Column:
-        """Whether two classes can be similar at all, given what no other class shares."""
+        """Whether two classes can be similar at all, given what no other class shares and how their bitmaps differ."""
         most = F.least(F.col(f"{x}.n") - F.col(f"{x}.u"), F.col(f"{y}.n") - F.col(f"{y}.u"))
-        return similar(most, F.col(f"{x}.n"), F.col(f"{y}.n"), num, den)
+        differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"{x}.{BITS[0]}").bitwiseXOR(F.col(f"{y}.{BITS[0]}"))))
+        near = differ * (den + num) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (den - num)
+        return similar(most, F.col(f"{x}.n"), F.col(f"{y}.n"), num, den) & near
 
     for turn in range(STAR_ROUNDS + 1):
         if roots is None:
@@ -158,10 +171,10 @@ def _class_components(ordered: DataFrame, num: int, den: int) -> DataFrame:
         else:
             known = roots.withColumnRenamed("node", "cid")
             placed = tokens.join(small_side(known, 16), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-        open_tokens = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct("u", F.xxhash64(F.lit(turn), "cid"), "cid", "comp", "n")).alias("lead"))
+        open_tokens = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct(F.col("u") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "cid"), "cid", "comp", "n", F.col("u").alias("own_u"), *BITS)).alias("lead"))
         open_tokens = open_tokens.where("a <> b").select("token", "lead")
         if turn < STAR_ROUNDS:
-            x, y = placed.alias("x"), open_tokens.select("token", "lead.*").alias("y")
+            x, y = placed.alias("x"), open_tokens.select("token", "lead.cid", "lead.comp", "lead.n", F.col("lead.own_u").alias("u"), *[f"lead.{b}" for b in BITS]).alias("y")
             apart = F.col("x.comp") != F.col("y.comp")
         else:
             left = placed.join(open_tokens.select("token"), "token", "left_semi")
@@ -169,8 +182,9 @@ def _class_components(ordered: DataFrame, num: int, den: int) -> DataFrame:
             apart = F.col("x.comp") < F.col("y.comp")
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & possible("x", "y")).select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")).distinct()
         new = stored(_links(pairs, ordered, num, den), "links")
-        links = new if links is None else links.union(new)
-        roots = components(links)
+        if roots is None or new.limit(1).count():
+            links = new if links is None else links.union(new)
+            roots = components(links)
     return roots
 
 
