@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -112,3 +113,16 @@ def test_chain_takes_the_best_rising_matches():
     words = word_hashes(["a b c d e f g h i j k l m n"], _OTHER)[0]
     seeds = substring_dedup.seed_places(substring_dedup.kmer_hashes(words))
     assert len(seeds) and np.all(np.diff(seeds) > 0)
+
+
+@pytest.mark.parametrize("changed", [4, 5])
+def test_fuzzy_passages_of_fifty_words_are_all_found(spark, changed):
+    rng, rows = random.Random(changed), []
+    for i in range(60):
+        passage = [f"p{i}x{j}" for j in range(50)]
+        edited = list(passage)
+        for j in rng.sample(range(1, 49), changed):
+            edited[j] = f"e{i}x{j}"
+        rows += [(2 * i, " ".join([f"a{i}x{j}" for j in range(9)] + passage)), (2 * i + 1, " ".join(edited + [f"b{i}x{j}" for j in range(9)]))]
+    found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.equal_words) for r in found} == {(d, 9 - 9 * (d % 2), 59 - 9 * (d % 2), 50 - changed) for d in range(120)}
