@@ -126,3 +126,12 @@ def test_fuzzy_passages_of_fifty_words_are_all_found(spark, changed):
         rows += [(2 * i, " ".join([f"a{i}x{j}" for j in range(9)] + passage)), (2 * i + 1, " ".join(edited + [f"b{i}x{j}" for j in range(9)]))]
     found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
     assert {(r.doc_id, r.start_word, r.end_word, r.equal_words) for r in found} == {(d, 9 - 9 * (d % 2), 59 - 9 * (d % 2), 50 - changed) for d in range(120)}
+
+
+def test_passages_of_lines_that_others_hold_singly(spark):
+    line = lambda s: [f"{s}{j}" for j in range(30)]
+    own = lambda d: [f"own{d}x{j}" for j in range(20)]
+    held = {1: ["k"], 9: ["k"], 2: ["l"], 8: ["l"], 4: ["k", "l"], 6: ["k", "l"]}
+    rows = [(d, " ".join(own(d) + [w for s in lines for w in line(s)] + own(d + 50))) for d, lines in held.items()]
+    found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id, r.start_word, r.end_word, r.equal_words) for r in found} == {(4, 6, 20, 80, 60), (6, 4, 20, 80, 60)}
