@@ -18,15 +18,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventloom.llm.common import _OTHER, batches_of_texts, mixed, small_side, stored, text_or_empty, word_hashes
 
-# Masks of weight 7; a stretch of 13 words with up to 2 substitutions meets one of them nearly always.
-MASKS = ("1110110101", "1101011011", "10111001101", "1111111")
+# Fixed values, found by exhaustive search: every stretch of 13 words or more that starts and ends with an equal word and has
+# 80 % equal ones holds one of the masks, wherever the others are. A test goes through all stretches.
+MASKS = ("11101011", "11001000111", "1111011", "111111")
 LEAST_WORDS = 5
 TABLE_BITS = 23
+#: For whole items of so many words: what hits the stretches that the masks miss.
+SHORT_MASKS = {
+    **{n: tuple("1" * j + "0" + "1" * (n - 1 - j) for j in range(1, n - 1)) for n in (5, 6, 7)},
+    8: ("1101111",), 10: ("110110011", "11001111", "1011111"), 11: ("11110011",),
+}
 
 
-def _masks(short: tuple[int, ...]) -> list[str]:
-    """The masks, and whole words for items too short for all of them."""
-    return [*MASKS, *("1" * n for n in short)]
+def _masks(n_words: int) -> tuple[str, ...]:
+    """The masks of an item of so many words."""
+    return MASKS + SHORT_MASKS.get(n_words, ())
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -81,20 +87,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
     Words are runs of letters and digits, lower-cased in A-Z. An overlap has at least ``least`` words (or all of a shorter
     item), of which ``share`` are equal at their places; per document and item the longest one is given. Items with fewer
     than LEAST_WORDS words are phrases rather than passages and are left out. Documents or items without text or
-    identifier have no overlaps; rows that share an identifier are one document. Empty tables give an empty result.
+    identifier have no overlaps; the masks are whole for these settings or stricter ones; rows that share an identifier are one document. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     items = stored(_item_words(benchmark), "items")
-    longest = max(map(len, MASKS))
-    # At most `longest` different numbers.
-    short = tuple(sorted(r[0] for r in items.where(F.col("n_words") < longest).select("n_words").distinct().collect()))
-    masks = _masks(short)
+    # At most as many numbers as SHORT_MASKS has.
+    short = sorted(r[0] for r in items.where(F.col("n_words").isin(list(SHORT_MASKS))).select("n_words").distinct().collect())
+    masks = list(dict.fromkeys([*MASKS, *(m for n in short for m in SHORT_MASKS[n])]))
 
     def item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for item, raw in zip(batch["item_id"], batch["words"]):
                 words = np.frombuffer(raw, dtype=np.uint64)
-                parts = [seed_hashes(words, m) for m in masks]
+                parts = [seed_hashes(words, m) for m in _masks(len(words))]
                 at = np.concatenate([np.arange(len(p)) for p in parts])
                 yield pd.DataFrame({"h": np.concatenate(parts).view(np.int64), "item_id": item, "item_at": at})
 
