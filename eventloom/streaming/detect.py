@@ -177,13 +177,13 @@ def stream_co_occurrence(
     by: Sequence[str] = (),
     watermark: str = "1 hour",
 ) -> DataFrame:
-    """Triggers with a ``first`` and a ``second`` event within the window: ``us``, ``seq``."""
+    """Triggers with a ``first`` and a ``second`` event within the window: ``us``, ``seq``. An event has all roles it fits."""
     window_us = max(1, window_micros(window_secs))
     us = F.col("us")
-    kind = F.when(trigger, "t").when(first, "p").when(second, "n")
+    kinds = F.array(F.when(trigger, "t"), F.when(first, "p"), F.when(second, "n"))
     rows = (
         events.withWatermark("ts", watermark)
-        .select(*by, "ts", "us", "seq", kind.alias("kind"), slice_of(us, window_us).alias("_home"))
+        .select(*by, "ts", "us", "seq", F.explode(kinds).alias("kind"), slice_of(us, window_us).alias("_home"))
         .where("kind is not null")
         .select("*", F.explode(_copies(us, window_us, 1, 1)).alias("bucket"))
         .where("kind <> 't' or bucket = _home")

@@ -74,3 +74,14 @@ def test_co_occurrence_and_running_score(spark, tmp_path):
     last = spark.table("scores").agg(F.max("detections"), F.max("score")).first()
     n = detect(batch, rules).count()
     assert tuple(last) == (n, 30 * n)
+
+
+def test_an_event_has_all_its_roles(spark, tmp_path):
+    batch, stream = batch_and_stream(spark, tmp_path)
+    net = is_("network_connection")
+    args = dict(trigger=net, first=net, second=net | is_("process_creation"))
+    found = run_to_end(
+        stream_co_occurrence(stream, 3600, watermark="30 days", **args), str(tmp_path / "out"), str(tmp_path / "ck")
+    )
+    want = sorted(r.seq for r in co_occurrence(batch, 3600, **args).collect())
+    assert sorted(r.seq for r in found.collect()) == want and want
