@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, ngram_join, secrets, substring_dedup, token_counts, toxicity
+from eventloom.llm import (
+    chat_format, decontamination, exact_dedup, line_dedup, mixing, ngram_join, pii, resampling, secrets, substring_dedup, token_counts, toxicity, whitening,
+)
 
 LONG_LINE, LINE_DOCS = 40, 5
 
@@ -59,10 +61,27 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark, sf_dir):
+    """deviation as the contract's long: null where n has grown so far that it needs more digits."""
+    out = whitening.whitened(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_pii(spark, sf_dir):
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [pii.count_of(kind).alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+def op13_resampling(spark, sf_dir):
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_exact_dedup, op3_toxicity, op4_ngram_join, op5_substring_dedup, op6_token_counts, op7_chat_format, op8_mixing, op9_secrets,
-        op10_decontamination,
+        op10_decontamination, op11_whitening, op12_pii, op13_resampling,
     )}
 
 
@@ -123,5 +142,37 @@ FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.seed
 """
 
 
+RESAMPLING_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, rowid AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT row_number() OVER () AS rowid, text FROM documents)
+  UNION ALL
+  SELECT 'b', 0, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
+  FROM benchmark),
+table_of AS (
+  SELECT list(list_reduce([b] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+named AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+buckets AS (
+  SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 10000 AS bucket
+  FROM named, table_of),
+counted AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN buckets USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counted),
+weighed AS (
+  SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN weighed USING (r)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op2_exact_dedup": EXACT_SQL, "op7_chat_format": CHAT_SQL, "op8_mixing": MIXING_SQL}
+    return {"op13_resampling": RESAMPLING_SQL, "op1_line_dedup": LINES_SQL, "op2_exact_dedup": EXACT_SQL, "op7_chat_format": CHAT_SQL, "op8_mixing": MIXING_SQL}
