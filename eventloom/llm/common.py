@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from eventloom.session import checkpoint_dir
 
@@ -32,6 +32,13 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def stored_counting(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """As stored, and the number of its rows (for which the condition holds), counted while they are written."""
+    counted = Observation()
+    kept = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    return stored(df.observe(counted, kept.alias("n")), name), counted.get["n"]
+
+
 def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Marks df for a broadcast if its rows, counted, stay within BROADCAST_BYTES; else it goes through a shuffle."""
     rows = df.count() if rows is None else rows
@@ -159,11 +166,13 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain in practice. Every round is written to the shared folder.
     """
     both = stored(links.select("x", "y").union(links.select("y", "x")).where("x <> y").distinct(), "links")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("root"), F.lit(True).alias("moved")), "labels")
-    while labels.where("moved").limit(1).count():
+    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("root")), "labels")
+    moved = 1
+    while moved:
         seen = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("root").alias("least"))
         near = labels.join(seen, labels["node"] == seen["x"]).select("node", F.col("root").alias("was"), F.least("root", "least").alias("root"))
         roots = labels.select(F.col("node").alias("at"), F.col("root").alias("up"))
         root = F.least("root", "up")
-        labels = stored(near.join(roots, near["root"] == roots["at"], "left").select("node", root.alias("root"), (F.col("was") != root).alias("moved")), "labels")
+        turned = near.join(roots, near["root"] == roots["at"], "left").select("node", root.alias("root"), (F.col("was") != root).alias("moved"))
+        labels, moved = stored_counting(turned, "labels", F.col("moved"))
     return labels.select("node", "root")

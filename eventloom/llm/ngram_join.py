@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventloom.llm.common import batches_of_texts, components, shingle_hashes, small_side, stored, text_or_empty, word_hashes
+from eventloom.llm.common import batches_of_texts, components, shingle_hashes, small_side, stored, stored_counting, text_or_empty, word_hashes
 
 ORDERS = 3
 STAR_ROUNDS = 2
@@ -93,8 +93,8 @@ def _survivors(classes: DataFrame, num: int, den: int) -> DataFrame:
     place = F.struct("doc_id", "at")
     first = sets.groupBy("cid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
     extra = sets.join(first.where("rows > 1").select("cid", "first"), "cid").where(F.struct("doc_id", "at") != F.col("first"))
-    extra = stored(extra.select(F.col("at").alias("beside")), "copies")
-    heads = sets.join(small_side(extra, 16), F.col("at") == F.col("beside"), "left_anti")
+    extra, rows = stored_counting(extra.select(F.col("at").alias("beside")), "copies")
+    heads = sets.join(small_side(extra, 16, rows), F.col("at") == F.col("beside"), "left_anti")
     tokens = heads.select("cid", "n", F.explode("head").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
     n = F.col("n")
@@ -103,18 +103,29 @@ def _survivors(classes: DataFrame, num: int, den: int) -> DataFrame:
     return met.where(F.col("count") >= need).select("cid")
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int) -> DataFrame:
-    """The whole sets of the classes, from one document of each: cid, n, tokens and the bitmap."""
-    wanted = stored(classes.select("cid", "doc_id").where("doc_id is not null").join(cids, "cid").groupBy("cid").agg(F.min("doc_id").alias("of")), "wanted")
+def _whole_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int, unnamed: bool) -> DataFrame:
+    """The whole sets of the classes, from one row of each: cid, n, tokens and the bitmap.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A class with an identifier is read from the document of its smallest one. If rows without identifier have words
+    (``unnamed``), those rows are read too and stand for the classes that have no other row.
+    """
+    held = classes.join(cids, "cid").groupBy("cid").agg(F.min("doc_id").alias("of"))
+    wanted, named = stored_counting(held, "wanted", F.col("of").isNotNull())
+    columns = f"cid long, n long, tokens array<long>, {', '.join(b + ' long' for b in BITS)}"
+
+    def sets(batches: Iterator[pd.DataFrame], check: bool) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(c, len(t), t, *_bitmap(t)) for c, t in zip(batch["cid"], _sets(batch["content"], k)) if c == _class_of(t)]
+            named = ((_class_of(t), t) for t in _sets(batch["content"], k))
+            rows = [(c, len(t), t, *_bitmap(t)) for i, (c, t) in enumerate(named) if not check or c == batch["cid"].iloc[i]]
             yield pd.DataFrame(rows, columns=["cid", "n", "tokens", *BITS])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("content"))
-    joined = rows.join(small_side(wanted, 24), rows["doc_id"] == wanted["of"]).select("cid", "content")
-    return stored(joined.mapInPandas(run, f"cid long, n long, tokens array<long>, {', '.join(b + ' long' for b in BITS)}").dropDuplicates(["cid"]), "sets")
+    joined = rows.join(small_side(wanted.where("of is not null"), 24, named), rows["doc_id"] == F.col("of")).select("cid", "content")
+    out = joined.mapInPandas(lambda batches: sets(batches, True), columns)
+    if unnamed:
+        others = rows.where("doc_id is null").select("content").mapInPandas(lambda batches: sets(batches, False), columns)
+        out = out.union(others.join(wanted.where("of is null").select("cid"), "cid", "left_semi"))
+    return stored(out.dropDuplicates(["cid"]), "sets")
 
 
 def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,6 +168,7 @@ def _class_components(ordered: DataFrame, num: int, den: int) -> DataFrame:
     """Classes with links to the smallest class they reach: node, root."""
     tokens = stored(ordered.select("cid", "n", "u", *BITS, F.explode("p0").alias("token")), "first-tokens")
     links = roots = None
+    labelled = 0
 
     def possible(x: str, y: str) -> Column:
         """Whether two classes can be similar at all, given what no other class shares and how their bitmaps differ."""
@@ -170,7 +182,7 @@ def _class_components(ordered: DataFrame, num: int, den: int) -> DataFrame:
             placed = tokens.withColumn("comp", F.col("cid"))
         else:
             known = roots.withColumnRenamed("node", "cid")
-            placed = tokens.join(small_side(known, 16), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+            placed = tokens.join(small_side(known, 16, labelled), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
         open_tokens = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(F.struct(F.col("u") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "cid"), "cid", "comp", "n", F.col("u").alias("own_u"), *BITS)).alias("lead"))
         open_tokens = open_tokens.where("a <> b").select("token", "lead")
         if turn < STAR_ROUNDS:
@@ -181,10 +193,11 @@ def _class_components(ordered: DataFrame, num: int, den: int) -> DataFrame:
             x, y = left.alias("x"), left.alias("y")
             apart = F.col("x.comp") < F.col("y.comp")
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & possible("x", "y")).select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")).distinct()
-        new = stored(_links(pairs, ordered, num, den), "links")
-        if roots is None or new.limit(1).count():
+        new, found = stored_counting(_links(pairs, ordered, num, den), "links")
+        if roots is None or found:
             links = new if links is None else links.union(new)
             roots = components(links)
+            labelled = roots.count()
     return roots
 
 
@@ -193,11 +206,12 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
 
     Documents link when their Jaccard similarity is at least num / den. Words are parted by white space and lower-cased in
     A-Z; with fewer than k words all of them make one shingle; without words the set is empty and links with nothing. Rows
-    without an identifier have no component (null). Rows that repeat an identifier stand for their own texts. An empty
+    without an identifier have no component (null), but links run through their texts. Rows that repeat an identifier stand for their own texts. An empty
     table gives an empty result.
     """
-    classes = stored(shingle_classes(docs, k, num, den).withColumn("at", F.monotonically_increasing_id()), "classes")
-    ordered = _ordered(_whole_sets(docs, classes, _survivors(classes, num, den), k), num, den)
+    numbered = shingle_classes(docs, k, num, den).withColumn("at", F.monotonically_increasing_id())
+    classes, unnamed = stored_counting(numbered, "classes", F.col("doc_id").isNull() & (F.col("n") > 0))
+    ordered = _ordered(_whole_sets(docs, classes, _survivors(classes, num, den), k, unnamed > 0), num, den)
     roots = _class_components(ordered, num, den).withColumnRenamed("node", "cid")
     rows = classes.select("doc_id", "n", "cid").join(small_side(roots, 16), "cid", "left")
     rows = rows.select("doc_id", "n", F.coalesce("root", "cid").alias("of"))
@@ -212,5 +226,5 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
 
     Documents without identifier or without words stay.
     """
-    gone = stored(similar_components(docs, **settings).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "represented")
-    return docs.join(small_side(gone, 8), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    gone, rows = stored_counting(similar_components(docs, **settings).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "represented")
+    return docs.join(small_side(gone, 8, rows), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -74,6 +74,15 @@ def test_jaccard_components_equal_brute_force(spark, k, num, den):
     assert {r.doc_id for r in kept.collect()} == {i for i in rows if want[i] == i}
 
 
+def test_links_run_through_rows_without_identifier(spark):
+    base = words_of(8, 150)
+    steps = [" ".join([f"step{j}" if j < 9 * i else w for j, w in enumerate(base)]) for i in range(4)]
+    for ids in ([1, 2, 3, 4], [1, None, 3, 4], [1, None, None, 4], [None, 2, None, 1]):
+        rows = list(zip(ids, steps)) + [(None, ""), (None, steps[1]), (9, "quite another text")]
+        out = {r.doc_id: r.component_id for r in ngram_join.similar_components(docs(spark, rows), 3, 85, 100).collect() if r.doc_id is not None}
+        assert out == {i: 1 for i in ids if i is not None} | {9: 9}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (7, 7)], "x long, y long")
     assert {r.node: r.root for r in components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 90, 90: 90}
