@@ -32,6 +32,7 @@ from eventloom.sources.lines import bad_json_lines, json_records, syslog_records
 from eventloom.sources.packets import packet_records  # noqa: E402
 from eventloom.sources.union import union_records  # noqa: E402
 from eventloom.sources.winlog import winlog_records  # noqa: E402
+from eventloom.streaming.live import LiveDetection, run_live  # noqa: E402
 from eventloom.streaming.detect import run_to_end, stream_co_occurrence, stream_stateless, stream_trailing  # noqa: E402
 from oracle_queries import CLASSIFY_IDS, DISABLED_RULES, SIGMA_RULES, oracle_queries  # noqa: E402
 
@@ -339,6 +340,28 @@ def _stream_events(spark, sf_dir) -> DataFrame:
     return project_events(spark.readStream.schema(schema).parquet(f"{table}*"))
 
 
+DELAY_SECS = 86_400
+
+
+def _live(spark, sf_dir, rule_ids=None, parts=3, last=None) -> LiveDetection:
+    """The events table as a stream that comes in so many parts by time, one micro-batch each, and then ends; rows for which
+    ``last`` holds come in a further part after all others."""
+    table = _utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = table.agg(F.min(us), F.max(us)).first()
+    base = f"{checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    rules = [r for r in builtin_rules() if rule_ids is None or r.rule_id in rule_ids]
+    live = LiveDetection(spark, f"{base}/state", rules, WINDOW_SECS, delay_secs=DELAY_SECS)
+    part = F.floor((us - low) * parts / (high - low + 1)) if low is not None else F.lit(0)
+    part = part if last is None else F.when(last, parts).otherwise(part)
+    for i in range(parts + (last is not None)):
+        table.where(part == i).write.mode("append").parquet(f"{base}/in")
+        stream = project_events(spark.readStream.schema(table.schema).parquet(f"{base}/in"))
+        run_live(stream, live, f"{base}/checkpoint", end=False)
+    live.close(stream.schema)
+    return live
+
+
 def _stream_queries() -> dict[str, Query]:
     def stream_stateless_rules(spark, sf_dir):
         rules = [r for r in builtin_rules() if isinstance(r, StatelessRule)]
@@ -359,7 +382,38 @@ def _stream_queries() -> dict[str, Query]:
         )
         return run_to_end(found, *_stream_folder(spark)).select("seq")
 
+    def stream_detections(spark, sf_dir):
+        """Every rule on a stream of several micro-batches."""
+        return _rows(_live(spark, sf_dir).detections())
+
+    def stream_distinct(spark, sf_dir):
+        return _rows(_live(spark, sf_dir, ["NET-PORTSCAN-001", "NET-SMBLAT-001", "AUTH-SPRAY-001"]).detections())
+
+    def stream_presence(spark, sf_dir):
+        return _rows(_live(spark, sf_dir, ["REG-PERSIST-001"]).detections())
+
+    def stream_lateral(spark, sf_dir):
+        found = _live(spark, sf_dir, ["PS-LATERAL-001"], parts=6).detections()
+        return found.select(F.col("trigger_seq").alias("seq"), F.array_join("event_ids", ",").alias("events"), F.array_join("evidence", "; ").alias("evidence"))
+
+    def stream_late_rows(spark, sf_dir):
+        """Every 97th event comes after all others; those beyond the delay are kept apart."""
+        live = _live(spark, sf_dir, ["AUTH-BRUTE-001"], last=F.col("event_id") % 97 == 0)
+        late = live.late_rows(_events(spark, sf_dir).schema)
+        return late.select("seq", "event_type", F.lit(sum(c["late"] for c in live.commits.values())).cast("bigint").alias("counted"))
+
+    def stream_report(spark, sf_dir):
+        """The report at the end of a stream, from the records of its batches."""
+        header = _live(spark, sf_dir).report()
+        return header.select("events_processed", "score.score", "score.threat_level", "summary.*")
+
     return {
+        "stream_detections": stream_detections,
+        "stream_distinct": stream_distinct,
+        "stream_presence": stream_presence,
+        "stream_lateral": stream_lateral,
+        "stream_late_rows": stream_late_rows,
+        "stream_report": stream_report,
         "stream_stateless_rules": stream_stateless_rules,
         "stream_trailing_count": stream_count,
         "stream_cooccurrence": stream_pairs,

@@ -66,8 +66,13 @@ def report_header(
     duration = duration_secs if isinstance(duration_secs, Column) else F.lit(float(duration_secs))
     counted = events.agg(F.count("*").alias("events_processed"))
     summed = detections.agg(_total_score().alias("_score"), *_severity_counts())
+    return assembled(counted.crossJoin(summed), duration, generated_at)
+
+
+def assembled(counts: DataFrame, duration: Column, generated_at: Column | None = None) -> DataFrame:
+    """The report record from one row with events_processed, _score, total and the count per severity."""
     names = ["total", *[s.lower() for s in reversed(SEVERITIES)]]
-    return counted.crossJoin(summed).select(
+    return counts.select(
         (F.current_timestamp() if generated_at is None else generated_at).alias("generated_at"),
         duration.alias("duration_secs"),
         "events_processed",

@@ -521,6 +521,9 @@ def level_rules() -> list[Rule]:
     ]
 
 
+LATERAL_TYPES = ("process_creation", "network_connection", "service_installation")
+
+
 def _find_lateral(events: DataFrame, window_secs: float, by: tuple[str, ...] = ()) -> DataFrame:
     is_shell = of_type("process_creation") & contains_any(lowered(F.col("cmd")), V.POWERSHELL_NAMES)
     part = (
@@ -528,9 +531,8 @@ def _find_lateral(events: DataFrame, window_secs: float, by: tuple[str, ...] = (
         .when(of_type("network_connection"), "net")
         .when(of_type("service_installation"), "service")
     )
-    types = of_type("process_creation", "network_connection", "service_installation")
     fields = ["event_id", "host", "service_name", "cmd", "dst_ip", "dst_port"]
-    narrow = events.where(types).select("seq", "us", *fields, part.alias("part"))
+    narrow = events.where(of_type(*LATERAL_TYPES)).select("seq", "us", *fields, part.alias("part"))
 
     def is_(name):
         return F.col("part") == name
@@ -555,7 +557,7 @@ def _find_lateral(events: DataFrame, window_secs: float, by: tuple[str, ...] = (
 
 
 def lateral_rule() -> Rule:
-    return FrameRule(**_head("PS-LATERAL-001"), find=_find_lateral)
+    return FrameRule(**_head("PS-LATERAL-001"), types=LATERAL_TYPES, find=_find_lateral)
 
 
 def builtin_rules() -> list[Rule]:

@@ -40,18 +40,18 @@ def rule_set(
     return RuleSet([*builtin_rules(), *sigma, *extra], dict(sigma.errors)).without(disabled)
 
 
-def _types(rules) -> list[str] | None:
+def needed_types(rules) -> list[str] | None:
     """Event types the rules need; None when one of them takes any type."""
     if any(not r.types for r in rules):
         return None
     return sorted({t for r in rules for t in r.types})
 
 
-def _only(events: DataFrame, types) -> DataFrame:
+def only_types(events: DataFrame, types) -> DataFrame:
     return events if types is None else events.where(F.col("event_type").isin(*types))
 
 
-def _fired(rules: Sequence[Rule], frame: DataFrame, index: Column) -> DataFrame:
+def fired_rows(rules: Sequence[Rule], frame: DataFrame, index: Column) -> DataFrame:
     """Attach what is the same for every firing of a rule, from a constant array by rule number."""
     heads = F.from_json(
         F.lit(
@@ -96,14 +96,14 @@ def stateless_detections(events: DataFrame, rules: Sequence[StatelessRule]) -> D
         for types, outcomes in groups.items()
     ]
     hits = F.flatten(F.array_compact(F.array(*parts)))
-    prepared = _only(events, _types(rules)).withColumn("_cmd", lowered(F.col("cmd")))
+    prepared = only_types(events, needed_types(rules)).withColumn("_cmd", lowered(F.col("cmd")))
     found = (
         prepared.select("seq", "us", "host", "event_id", hits.alias("_hits"))
         .select("seq", "us", "host", "event_id", F.explode_outer("_hits").alias("_hit"))
         .where("_hit is not null")
         .select("seq", "us", "host", F.array("event_id").alias("event_ids"), "_hit.*")
     )
-    return _fired(rules, found, F.col("_rule"))
+    return fired_rows(rules, found, F.col("_rule"))
 
 
 def _key_struct(index: int, rule: LevelRule) -> dict[str, Column]:
@@ -115,16 +115,12 @@ def _keys_present(rule: LevelRule) -> Column:
     return reduce(lambda a, k: a & k.isNotNull(), rule.keys, F.lit(True))
 
 
-def level_detections(
-    events: DataFrame, rules: Sequence[LevelRule], window_secs: float, slice_secs: float | None = None
-) -> DataFrame:
-    """All level rules in one sweep keyed by (rule, key)."""
+WindowOf = Callable[[LevelRule], int]
 
-    def window_us(rule):
-        return window_micros(rule.window_secs if rule.window_secs is not None else window_secs)
 
-    slice_us = slice_micros(max(window_us(r) for r in rules), slice_secs)
-    events = _only(events, _types(rules))
+def level_deltas(events: DataFrame, rules: Sequence[LevelRule], window_us: WindowOf) -> DataFrame:
+    """The rows of the sweep of all level rules but the sightings: what counts or sums, and what is asked."""
+    events = only_types(events, needed_types(rules))
     # Conditions first, each computed once; then one struct per rule that applies.
     flags = {}
     for index, rule in enumerate(rules):
@@ -158,8 +154,12 @@ def level_detections(
         .where("_row is not null")
         .select("us", "seq", "_row.*", F.struct("event_id", "host", F.col("_row._carry").alias("carry")).alias("_keep"))
     )
-    deltas = sweep(exploded, KEYS, ["_n", "_amount"], F.col("_window"))
+    return sweep(exploded, KEYS, ["_n", "_amount"], F.col("_window"))
+
 
+def level_sightings(events: DataFrame, rules: Sequence[LevelRule], window_us: WindowOf) -> dict[int, DataFrame]:
+    """For each window length the sightings that distinct counts and presence tests are made of: the key and _value."""
+    events = only_types(events, needed_types(rules))
     by_window: dict[int, list[Column]] = {}
     for index, rule in enumerate(rules):
         if rule.measure in ("distinct", "present"):
@@ -171,17 +171,16 @@ def level_detections(
             by_window.setdefault(window_us(rule), []).append(
                 F.when(rule.member & _keys_present(rule) & value.isNotNull(), sighting)
             )
-    for length, sightings in by_window.items():
-        members = (
-            events.select("us", "seq", F.array_compact(F.array(*sightings)).alias("_seen"))
-            .select("us", "seq", F.inline_outer("_seen"))
-            .where("_rule is not null")
-        )
-        edges = presence_deltas(members, KEYS, "_value", "_n", length, slice_us)
-        deltas = deltas.unionByName(edges, allowMissingColumns=True)
+    return {
+        length: events.select("us", "seq", F.array_compact(F.array(*sightings)).alias("_seen"))
+        .select("us", "seq", F.inline_outer("_seen"))
+        .where("_rule is not null")
+        for length, sightings in by_window.items()
+    }
 
-    levels = running_levels(deltas, KEYS, ["_n", "_amount"], slice_us)
 
+def fired_levels(levels: DataFrame, rules: Sequence[LevelRule]) -> DataFrame:
+    """Gates and evidence over the levels of the asked events."""
     fires, severity, evidence = F.lit(False), F.lit(None), F.lit(None)
     for index, rule in enumerate(rules):
         mine = F.col("_rule") == index
@@ -194,7 +193,23 @@ def level_detections(
         "_rule", "seq", "us", "_keep.host", F.array("_keep.event_id").alias("event_ids"),
         severity.alias("severity"), evidence.alias("evidence"),
     )
-    return _fired(rules, found, F.col("_rule"))
+    return fired_rows(rules, found, F.col("_rule"))
+
+
+def level_detections(
+    events: DataFrame, rules: Sequence[LevelRule], window_secs: float, slice_secs: float | None = None
+) -> DataFrame:
+    """All level rules in one sweep keyed by (rule, key)."""
+
+    def window_us(rule):
+        return window_micros(rule.window_secs if rule.window_secs is not None else window_secs)
+
+    slice_us = slice_micros(max(window_us(r) for r in rules), slice_secs)
+    deltas = level_deltas(events, rules, window_us)
+    for length, members in level_sightings(events, rules, window_us).items():
+        edges = presence_deltas(members, KEYS, "_value", "_n", length, slice_us)
+        deltas = deltas.unionByName(edges, allowMissingColumns=True)
+    return fired_levels(running_levels(deltas, KEYS, ["_n", "_amount"], slice_us), rules)
 
 
 def _usable(rule: Rule, build: Callable[[], DataFrame], errors: dict[str, str] | None) -> DataFrame | None:
@@ -270,7 +285,7 @@ def detect(
     for rule in active:
         if isinstance(rule, FrameRule):
             length = rule.window_secs if rule.window_secs is not None else window_secs
-            plan = lambda rule=rule, length=length: _fired([rule], rule.find(events, length), F.lit(0))
+            plan = lambda rule=rule, length=length: fired_rows([rule], rule.find(events, length), F.lit(0))
             frame = plan() if rule.rule_id in builtin_ids else _usable(rule, plan, errors)
             if frame is not None:
                 parts.append(frame)

@@ -67,8 +67,10 @@ class LevelRule(Rule):
 @dataclass(frozen=True)
 class FrameRule(Rule):
     """Anything else: ``find(events, window_secs)`` returns ``seq``, ``us``, ``host``,
-    ``severity``, ``event_ids`` and ``evidence``."""
+    ``severity``, ``event_ids`` and ``evidence``. It looks at most one window back and ahead of
+    its triggers, and only at events of ``types`` if there are any."""
 
+    types: tuple[str, ...] = ()
     find: Callable[[DataFrame, float], DataFrame] = None
     window_secs: float | None = None
 

@@ -478,4 +478,16 @@ def oracle_queries() -> dict[str, str]:
         out[f"sigma_{name}"] = sigma_sql(name)
     out.update(source_sql())
     out.update(stream_sql())
+    found = "SELECT rule_id, seq, severity, score, evidence FROM det"
+    distinct_rules = "'NET-PORTSCAN-001', 'NET-SMBLAT-001', 'AUTH-SPRAY-001'"
+    out["stream_detections"] = out["detections"]
+    out["stream_report"] = out["report"]
+    out["stream_presence"] = out["rule_REG-PERSIST-001"]
+    out["stream_distinct"] = with_view(f"{found} WHERE rule_id IN ({distinct_rules})", ALL_DETECTIONS_CTE)
+    out["stream_lateral"] = with_view(
+        "SELECT d.seq, 'e' || l.seq || ',e' || l.p_seq || ',e' || l.n_seq AS events, d.evidence"
+        " FROM det d JOIN lateral_rows l ON d.seq = l.seq WHERE d.rule_id = 'PS-LATERAL-001'", ALL_DETECTIONS_CTE
+    )
+    late = "seq % 97 = 0 AND us < (SELECT max(us) FROM ev WHERE seq % 97 <> 0) - 86400000000"
+    out["stream_late_rows"] = with_view(f"SELECT seq, event_type, count(*) OVER () AS counted FROM ev WHERE {late}")
     return out
