@@ -34,7 +34,7 @@ from eventloom.sources.union import union_records  # noqa: E402
 from eventloom.sources.winlog import winlog_records  # noqa: E402
 from eventloom.streaming.live import LiveDetection, run_live  # noqa: E402
 from eventloom.streaming.detect import run_to_end, stream_co_occurrence, stream_stateless, stream_trailing  # noqa: E402
-from oracle_queries import CLASSIFY_IDS, DISABLED_RULES, SIGMA_RULES, oracle_queries  # noqa: E402
+from oracle_queries import CLASSIFY_IDS, DENSER, DISABLED_RULES, SIGMA_RULES, oracle_queries  # noqa: E402
 
 try:
     import eventloom.llm.queries as llm_queries
@@ -107,15 +107,16 @@ def _context_queries() -> dict[str, Query]:
         crossed = context.crosses_multiple(F.col("total"), F.col("before"), V.WINDOW_UPLOAD_BYTES)
         return sums.where(crossed).select("seq", "host", "total", "before")
 
-    def cooccurrence(spark, sf_dir, window_secs=WINDOW_SECS):
+    def cooccurrence(spark, sf_dir, window_secs=WINDOW_SECS, denser=1):
         shell = _is("process_creation") & contains_any(lowered(F.col("cmd")), V.POWERSHELL_NAMES)
         return co_occurrence(
-            _events(spark, sf_dir), window_secs,
+            _events(spark, sf_dir).withColumn("us", F.call_function("div", F.col("us"), F.lit(denser))), window_secs,
             trigger=_is("service_installation"), first=shell, second=_is("network_connection"),
         ).select("seq", F.col("first_event.seq").alias("p_seq"), F.col("second_event.seq").alias("n_seq"))
 
     def cooccurrence_default_window(spark, sf_dir):
-        return cooccurrence(spark, sf_dir, V.DEFAULT_WINDOW_SECS)
+        """Times are made denser, as the table has one event in three minutes."""
+        return cooccurrence(spark, sf_dir, V.DEFAULT_WINDOW_SECS, DENSER)
 
     def preceding_failures(spark, sf_dir):
         return context.preceding_matches(

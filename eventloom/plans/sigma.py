@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import EVENT_TYPES, SIGMA_LEVELS, SIGMA_LOGSOURCES
 from ..functions.text import all_of, any_of, line, lines, lowered
 from ..schema import PROMOTED
+from .rule_index import RuleIndex
 from .rules import Branch, RuleSet, StatelessRule
 
 MODIFIERS = {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}
@@ -180,8 +182,8 @@ def _type_label() -> Column:
     return F.coalesce(label, F.concat(F.lit('Unknown("'), quoted, F.lit('")')))
 
 
-def compile_rule(source: str | Mapping, *, compat: bool = False, case_insensitive_fields: bool = False) -> StatelessRule:
-    """One rule, from YAML text or an already parsed mapping."""
+def read_rule(source: str | Mapping) -> dict:
+    """The parts of a rule, from YAML text or an already parsed mapping, with all checks but that of the condition."""
     rule = _required(parse_yaml(source) if isinstance(source, str) else source, Mapping, "rule")
     title = _required(rule.get("title"), str, "title")
     logsource = _required(rule.get("logsource"), Mapping, "logsource")
@@ -194,21 +196,37 @@ def compile_rule(source: str | Mapping, *, compat: bool = False, case_insensitiv
     event_type = SIGMA_LOGSOURCES.get(category if category is not None else service)
     short = title.encode()[:DEFAULT_ID_BYTES].decode(errors="ignore")
     rule_id = _optional(rule.get("id"), str, "id")
-    sets = {
-        name: _selection(name, fields, case_insensitive_fields)
-        for name, fields in detection.items()
-        if name not in ("condition", "timeframe")
+    sets = {n: _required(f, Mapping, f"set '{n}'") for n, f in detection.items() if n not in ("condition", "timeframe")}
+    for fields in sets.values():
+        for key in fields:
+            _required(key, str, "field name")
+    return {
+        "rule_id": rule_id if rule_id is not None else f"SIGMA-{short}",
+        "title": title,
+        "description": _optional(rule.get("description"), str, "description") or "",
+        "tags": tuple(_required(t, str, "tag") for t in tags),
+        "event_type": event_type,
+        "severity": SIGMA_LEVELS.get(level, "Info"),
+        "condition": condition,
+        "sets": sets,
     }
+
+
+def compile_rule(source: str | Mapping, *, compat: bool = False, case_insensitive_fields: bool = False) -> StatelessRule:
+    """One rule, from YAML text or an already parsed mapping."""
+    rule = read_rule(source)
+    sets = {name: _selection(name, fields, case_insensitive_fields) for name, fields in rule["sets"].items()}
+    title = rule["title"]
     return StatelessRule(
-        rule_id=rule_id if rule_id is not None else f"SIGMA-{short}",
+        rule_id=rule["rule_id"],
         name=title,
-        description=_optional(rule.get("description"), str, "description") or "",
-        tags=tuple(_required(t, str, "tag") for t in tags),
-        types=(event_type,) if event_type else (),
+        description=rule["description"],
+        tags=rule["tags"],
+        types=(rule["event_type"],) if rule["event_type"] else (),
         branches=(
             Branch(
-                compile_condition(condition, sets, compat),
-                SIGMA_LEVELS.get(level, "Info"),
+                compile_condition(rule["condition"], sets, compat),
+                rule["severity"],
                 lines(line(f"Sigma rule '{title}' matched on ", _type_label())),
             ),
         ),
@@ -234,13 +252,6 @@ def load_rules(
 
 # --- rules as data ---------------------------------------------------------------------
 
-TEST = "struct<modifier:string,value:string,matcher:int>"
-RULE_ROW = (
-    "struct<rule_id:string,severity:string,event_type:string,sets:array<struct<at:int,matchers:array<int>>>,"
-    "alternatives:array<struct<any:array<array<int>>,no:array<int>>>>"
-)
-
-
 def rule_data(rules: Iterable[Mapping], errors: dict[str, str] | None = None) -> tuple[dict[str, list], list[dict]]:
     """Rules as data: the tests of each field, and rules whose sets name tests by number.
 
@@ -250,12 +261,11 @@ def rule_data(rules: Iterable[Mapping], errors: dict[str, str] | None = None) ->
     rows, numbers = [], {}
     for place, rule in enumerate(rules):
         try:
-            head = compile_rule(rule)  # all checks of a compiled rule hold here too
-            detection = rule["detection"]
-            sets = [(n, f) for n, f in detection.items() if n not in ("condition", "timeframe")]
+            head = read_rule(rule)  # the checks of a compiled rule, without its columns
+            sets = list(head["sets"].items())
             order = {name: i for i, (name, _) in enumerate(sets)}
             alternatives = []
-            for together in condition_terms(detection["condition"], order):
+            for together in condition_terms(head["condition"], order):
                 groups, never = [], []
                 for kind, chosen in together:
                     places = [order[n] for n in chosen]
@@ -283,49 +293,31 @@ def rule_data(rules: Iterable[Mapping], errors: dict[str, str] | None = None) ->
             errors[str(rule.get("id") or rule.get("title") or f"rule {place}") if isinstance(rule, Mapping) else f"rule {place}"] = str(error)
             continue
         rows.append({
-            "rule_id": head.rule_id, "severity": head.branches[0].severity, "event_type": head.types[0] if head.types else None,
+            "rule_id": head["rule_id"], "severity": head["severity"], "event_type": head["event_type"],
             "sets": placed, "alternatives": alternatives,
         })
     return tests, rows
 
 
 def match_rule_table(events: DataFrame, rules: Sequence[Mapping], errors: dict[str, str] | None = None) -> DataFrame:
-    """Rules as constant data instead of columns, for thousands of them: ``rule_id``, ``seq``, ``severity``.
+    """Rules as data instead of columns, for thousands of them: ``rule_id``, ``seq``, ``severity``.
 
-    Each event tests its fields against the tests of that field only and then looks up which sets and conditions that
-    meets, inside one projection: no join, no shuffle and one output row per rule that fires.
+    Events pass in Arrow batches with the texts of the fields that rules name. Each task builds the index of all rules
+    once, and an event only touches rules that share a word with it: no join, no shuffle, one output row per firing.
     """
     tests, rows = rule_data(rules, errors)
-
-    def constant(value, kind: str) -> Column:
-        return F.from_json(F.lit(json.dumps(value)), f"array<{kind}>")
-
-    def met_by(text: Column, known: list) -> Column:
-        def hit(test):
-            found = F.lit(False)
-            for name in {t["modifier"] for t in known}:
-                holds = MODIFIERS[name](text, test["value"]) if name in MODIFIERS else text == test["value"]
-                found = F.when(test["modifier"] == name, holds).otherwise(found)
-            return found
-
-        return F.transform(F.filter(constant(known, TEST), hit), lambda t: t["matcher"])
-
-    fields = {f"_f{i}": field_value(name) for i, name in enumerate(tests)}
-    staged = events.select("seq", "event_type", *[c.alias(n) for n, c in fields.items()])
-    met = F.flatten(F.array(*[met_by(F.col(n), known) for n, known in zip(fields, tests.values())])) if tests else F.array().cast("array<int>")
-    staged = staged.select("seq", "event_type", met.alias("_met"))
-
-    def fires(rule):
-        # A set without tests holds for every event.
-        sets = F.transform(
-            F.filter(rule["sets"], lambda s: F.forall(s["matchers"], lambda m: F.array_contains(F.col("_met"), m))), lambda s: s["at"]
-        )
-        typed = rule["event_type"].isNull() | (rule["event_type"] == F.col("event_type"))
-        holds = F.exists(
-            rule["alternatives"],
-            lambda a: F.forall(a["any"], lambda group: F.arrays_overlap(group, sets)) & ~F.arrays_overlap(a["no"], sets),
-        )
-        return F.coalesce(typed & holds, F.lit(False))
-
-    fired = staged.select("seq", F.explode_outer(F.filter(constant(rows, RULE_ROW), fires)).alias("_rule")).where("_rule is not null")
-    return fired.select(F.col("_rule.rule_id").alias("rule_id"), "seq", F.col("_rule.severity").alias("severity"))
+    fields = [field_value(name) for name in tests]
+    texts = F.array(*fields) if fields else F.array().cast("array<string>")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = RuleIndex(tests, rows)
+        for batch in batches:
+            out, known = [], {}
+            for seq, kind, words in zip(batch["seq"], batch["event_type"], batch["texts"]):
+                look = kind, tuple(words)
+                if look not in known:  # equal texts are frequent in a batch
+                    known[look] = index.fired(*look)
+                out += [(rows[n]["rule_id"], seq, rows[n]["severity"]) for n in known[look]]
+            yield pd.DataFrame(out, columns=["rule_id", "seq", "severity"])
+
+    return events.select("seq", "event_type", texts.alias("texts")).mapInPandas(run, "rule_id string, seq bigint, severity string")

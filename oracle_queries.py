@@ -119,6 +119,7 @@ lateral_rows AS (
 """
 
 
+DENSER = 2500  # times of cooccurrence_default_window are divided by this
 DISABLED_RULES = ["PS-LATERAL-001", "EXEC-LOLBIN-001", "NET-BEACON-001"]
 CLASSIFY_IDS = [*V.EVENT_ID_TYPES, 9999]
 
@@ -426,7 +427,7 @@ def oracle_queries() -> dict[str, str]:
         "cooccurrence": with_view("SELECT seq, p_seq, n_seq FROM lateral_rows", LATERAL_CTE),
         "cooccurrence_default_window": with_view(
             "SELECT seq, p_seq, n_seq FROM lateral_rows", LATERAL_CTE.replace(str(W), str(V.DEFAULT_WINDOW_SECS * 1_000_000))
-        ),
+        ).replace("epoch_us(ts) AS us", f"epoch_us(ts) // {DENSER} AS us"),
         "rules_disabled": with_view(
             f"SELECT rule_id, seq, severity, score, evidence FROM det WHERE rule_id NOT IN ({', '.join(map(q, DISABLED_RULES))})", ALL_DETECTIONS_CTE
         ),

@@ -1,6 +1,7 @@
 """End-to-end: raw JSON lines through normalisation, all rules and the report."""
 
 import json
+import random
 
 import pytest
 from pyspark.errors import AnalysisException, PySparkException
@@ -13,6 +14,7 @@ from eventloom.plans import sigma
 from eventloom.plans.builtin import builtin_rules
 from eventloom.plans.custom import context_rule
 from eventloom.plans.detect import detect, rule_set
+from eventloom.plans.rule_index import RuleIndex
 from eventloom.plans.rules import Branch, FrameRule, LevelRule, RuleSet, StatelessRule
 from eventloom.schema import DETECTION_SCHEMA, threat_level
 from eventloom.sources.lines import json_records
@@ -379,3 +381,69 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r" / "detections")).first().rule_id == "EXEC-ENCODE-001"
     days = report.host_day_score(found).collect()
     assert [(d.host, d.detections, d.score, d.threat_level) for d in days] == [("WS1", 1, 30, "SUSPICIOUS")]
+
+
+# --- the index of rule words -----------------------------------------------------------
+
+
+def many_rules(n):
+    """Rules of the usual shapes, each about words of its own."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    out = []
+    for i in range(n):
+        sets = {"s": {"cmd|contains": [word(), word()], "user": word()}, "t": {"cmd|endswith": word()}, "u": {"host|startswith": word()}}
+        out.append({"id": f"R{i}", "title": f"R{i}", "level": "low", "logsource": {}, "detection": sets | {"condition": ("s and not t or u", "1 of s*", "t or u")[i % 3]}})
+    return out
+
+
+def test_an_event_touches_only_rules_with_its_words():
+    rules = many_rules(1500)
+    tests, rows = sigma.rule_data(rules)
+    index = RuleIndex(tests, rows)
+    fields = list(tests)
+    place = fields.index("cmd")
+    event = [""] * len(fields)
+    event[place] = "run something else"
+    assert index.candidates(event) == {}
+    words = rules[7]["detection"]["t"]["cmd|endswith"]
+    event[place] = f"run {words}"
+    assert set(index.candidates(event)) == {7}
+    event[place] = f"{words} run"
+    assert index.candidates(event) == {}
+
+
+def test_rule_index_equals_reading_every_rule():
+    """Words that lie in each other, at both ends, empty ones, and conditions that hold without any set."""
+    rng = random.Random(2)
+    words = ["", "a", "ab", "b", "ba", "abab", "bb"]
+    keys = ["x|contains", "x|startswith", "x|endswith", "x", "y|contains", "y"]
+    conditions = ["s", "not s", "s and t", "s or not t", "1 of *", "all of *", "not s and not t", "t and not s", "nosuch", "not nosuch"]
+    rules = [
+        {"id": str(i), "title": "r", "logsource": {"category": rng.choice(["process_creation", "nothing"])}, "detection": {
+            **{n: {k: rng.sample(words, rng.randrange(3)) for k in rng.sample(keys, rng.randrange(3))} for n in "st"}, "condition": rng.choice(conditions)}}
+        for i in range(400)
+    ]
+    tests, rows = sigma.rule_data(rules)
+    index = RuleIndex(tests, rows)
+
+    def holds(key, value, event):
+        field, _, how = key.partition("|")
+        text = event[field]
+        test = {"contains": text.__contains__, "startswith": text.startswith, "endswith": text.endswith, "": text.__eq__}[how]
+        return any(test(w) for w in value)
+
+    def fires(rule, kind, event):
+        sets = {n: all(holds(k, v, event) for k, v in f.items()) for n, f in rule["detection"].items() if n != "condition"}
+        known = lambda n: sets.get(n, False)
+        return (rule["logsource"]["category"] == "nothing" or kind == "process_creation") and {
+            "1 of *": any(sets.values()), "all of *": all(sets.values()), "s": known("s"), "not s": not known("s"), "s and t": known("s") and known("t"),
+            "s or not t": known("s") or not known("t"), "not s and not t": not known("s") and not known("t"), "t and not s": known("t") and not known("s"),
+            "nosuch": False, "not nosuch": True,
+        }[rule["detection"]["condition"]]
+
+    for _ in range(300):
+        event = {f: "".join(rng.choice("ab") for _ in range(rng.randrange(6))) for f in "xy"}
+        kind = rng.choice(["process_creation", "dns_query", None])
+        want = [i for i, r in enumerate(rules) if fires(r, kind, event)]
+        assert index.fired(kind, [event[f] for f in tests]) == want
