@@ -11,6 +11,8 @@ from pyspark.sql import functions as F, types as T
 
 LEVELS = 5  # nested levels that are columns; what lies deeper is lifted to the last one
 MARK = "\x01"
+ESCAPE = "\x02"
+ESCAPES = {ESCAPE: ESCAPE + "b", MARK: ESCAPE + "a"}  # in this order; undone in the opposite one
 
 
 class _Number(str):
@@ -39,20 +41,29 @@ def _rewrite(text: str | None) -> str | None:
         if text is None:
             return None
         value = _read(text)
-        return _write(dict(_lifted("", value, LEVELS)) if isinstance(value, dict) else value)
+        return _write(dict(_lifted(None, value, LEVELS)) if isinstance(value, dict) else value)
     except (ValueError, RecursionError):
         return None
 
 
-def _lifted(path: str, value: dict, room: int) -> Iterator[tuple[str, object]]:
-    """Members of an object. Where no level is left, an object's leaves take its place: MARK path MARK last key."""
+def _escaped(text: str) -> str:
+    for char, code in ESCAPES.items():
+        text = text.replace(char, code)
+    return text
+
+
+def _lifted(path: str | None, value: dict, room: int) -> Iterator[tuple[str, object]]:
+    """Members of an object. Where no level is left, an object's leaves take its place: MARK path MARK last key, both
+    escaped. A key that holds the mark itself is written in the same way there, without a path: MARK key."""
     for k, v in value.items():
-        if not isinstance(v, dict):
-            yield (f"{MARK}{path}{MARK}{k}" if path else k), v
-        elif room > 0:
-            yield k, dict(_lifted("", v, room - 1))
+        if isinstance(v, dict) and room > 0:
+            yield k, dict(_lifted(None, v, room - 1))
+        elif isinstance(v, dict):
+            yield from _lifted(k if path is None else f"{path}.{k}", v, 0)
+        elif path is not None:
+            yield f"{MARK}{_escaped(path)}{MARK}{_escaped(k)}", v
         else:
-            yield from _lifted(f"{path}.{k}" if path else k, v, 0)
+            yield (MARK + _escaped(k) if room == 0 and MARK in k else k), v
 
 
 @F.pandas_udf(T.StringType())

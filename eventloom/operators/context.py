@@ -9,7 +9,8 @@ A running sum over a whole key would put a hot key into one task. So the time ax
 into slices: the sum runs inside ``(key, slice)``, and what earlier slices left behind is
 added from a small table of slice totals, pre-aggregated on the map side. The slice length
 has nothing to do with the window length, so a key that holds a third of the data is still
-spread over as many tasks as it has busy slices.
+spread over as many tasks as it has busy slices. The slice totals of a key are cut once more,
+into blocks of slices, so that a key with millions of slices is not one task either.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MICROS = 1_000_000
 DEFAULT_SLICE_SECS = 3600
+SLICES_OF_A_BLOCK = 1024
 PACK = 1 << 63  # (us, seq) packed into one ordered decimal: us * 2^63 + seq
 
 
@@ -197,19 +199,10 @@ def running_levels(
     ).where("_emit")
 
     # One row per key and busy slice: bounded by elapsed time, not by the number of events.
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
     totals = cut.groupBy(*group).agg(
         F.max("_emit").alias("_wanted"), *[F.sum(m).alias(m) for m in measures]
     )
-    carried = totals.select(
-        *group, "_wanted", *[F.sum(m).over(earlier).alias(f"_carry_{m}") for m in measures]
-    )
-    not_zero = reduce(
-        lambda a, b: a | b, [F.coalesce(F.col(f"_carry_{m}") != 0, F.lit(False)) for m in measures]
-    )
-    carried = carried.where(F.col("_wanted") & not_zero).drop("_wanted")
+    carried = carried_levels(totals, keys, measures)
 
     return inside.join(carried, group, "left").select(
         *keys,
@@ -223,6 +216,27 @@ def running_levels(
     )
 
 
+def carried_levels(totals: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """What earlier slices of its key leave to each wanted slice, where that is not zero.
+
+    ``totals`` has one row per key and slice. A key with very many slices is cut into blocks of them: block totals run along
+    the key, one row per block, and what they give opens the running sum inside the block. So no task sees all slices of
+    a key, only all its blocks.
+    """
+    along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = totals.withColumn("_block", slice_of(F.col("_slice"), SLICES_OF_A_BLOCK))
+    blocks = blocked.groupBy(*keys, "_block").agg(F.max("_wanted").alias("_wanted"), *[F.sum(m).alias(m) for m in measures])
+    openings = blocks.select(*keys, "_block", "_wanted", *[F.sum(m).over(along).alias(m) for m in measures]).where("_wanted")
+
+    inside = Window.partitionBy(*keys, "_block").orderBy(F.col("_slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    opened = blocked.unionByName(openings.withColumn("_slice", F.lit(None).cast("bigint")))
+    carried = opened.select(
+        *keys, "_slice", "_wanted", *[F.sum(m).over(inside).alias(f"_carry_{m}") for m in measures]
+    )
+    not_zero = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_carry_{m}") != 0, F.lit(False)) for m in measures])
+    return carried.where(F.col("_slice").isNotNull() & F.col("_wanted") & not_zero).drop("_wanted")
+
+
 # --- primitives ------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ from ..fixed_values import (
     SEVERITIES,
     TIMESTAMP_KEYS,
 )
-from ..functions.json_batches import LEVELS, MARK, rewritten_json
+from ..functions.json_batches import ESCAPES, LEVELS, MARK, rewritten_json
 from ..functions.text import parse_u64
 from ..schema import EVENT_SCHEMA, PROMOTED, severity_rank
 
@@ -56,7 +56,7 @@ def json_text(raw: Column) -> Column:
 
     The variant parser settles nearly every line. It ignores text after a value, so the value is
     wrapped in two ways, one of which trailing text always breaks; and it rejects repeated keys.
-    What it rejects, and records with enough braces to be deeper than LEVELS, are read once more
+    What it rejects, records deeper than LEVELS and the rare ones with the mark of lifted leaves in them are read once more
     in Arrow batches, where deep leaves are lifted (other lines pass as null).
     """
 
@@ -65,11 +65,21 @@ def json_text(raw: Column) -> Column:
 
     one = F.try_variant_get(parses("[", "]"), "$[1]", "variant").isNull()
     some = F.try_variant_get(parses("[", "]"), "$[0]", "variant").isNotNull()
-    shallow = F.length(raw) - F.length(F.replace(raw, F.lit("{"), F.lit(""))) <= LEVELS + 1
-    plain = F.coalesce(one & some & parses('{"v":', "}").isNotNull() & shallow, F.lit(False))
+    unmarked = ~F.contains(raw, F.lit(MARK)) & ~F.contains(raw, F.lit("\\u0001"))
+    plain = F.coalesce(one & some & parses('{"v":', "}").isNotNull() & unmarked & is_shallow(raw), F.lit(False))
     return F.when(plain, raw).otherwise(rewritten_json(F.when(~plain, raw)))
 
 
+def is_shallow(raw: Column) -> Column:
+    """Whether objects of a JSON text lie at most LEVELS deep in one another. Texts are taken out first, as their braces
+    do not count; then the innermost objects go, level by level. Only records with many braces pay for it."""
+    few = F.length(raw) - F.length(F.replace(raw, F.lit("{"), F.lit(""))) <= LEVELS + 1
+    rest = F.regexp_replace(F.regexp_replace(raw, r"\\.", ""), r'"[^"]*"', "")
+    for _ in range(LEVELS + 1):
+        rest = F.regexp_replace(rest, r"\{[^{}]*\}", "")
+    return few | ~F.contains(rest, F.lit("{"))
+
+
 def is_json(raw: Column) -> Column:
     """Whether the text is exactly one JSON value, object or not."""
     return json_text(raw).isNotNull()
@@ -124,11 +134,23 @@ def _children(node: Column) -> Column:
     )
 
 
-def _lifted_node(node: Column) -> Column:
-    """A leaf that was lifted to the last level gets its full path and its own key back."""
-    mark = F.lit(MARK)
-    path = F.replace(F.replace(node["path"], F.concat(F.lit("."), mark), F.lit(".")), mark, F.lit("."))
-    return F.struct(path.alias("path"), F.substring_index(node["key"], MARK, -1).alias("key"), node["t"].alias("t"), node["s"].alias("s"))
+def _unescaped(text: Column) -> Column:
+    for char, code in reversed(ESCAPES.items()):
+        text = F.replace(text, F.lit(code), F.lit(char))
+    return text
+
+
+def _lifted_children(node: Column) -> Column:
+    """Children at the last level: leaves that were lifted there get their full path and their own key back."""
+
+    def child(e):
+        key, after = e["key"], F.substring(e["key"], 2, 2**31 - 1)
+        lifted, deep = F.startswith(key, F.lit(MARK)), F.contains(after, F.lit(MARK))
+        last = F.when(lifted, _unescaped(F.substring_index(after, MARK, -1))).otherwise(key)
+        between = F.when(lifted & deep, F.concat(_unescaped(F.substring_index(after, MARK, 1)), F.lit("."))).otherwise(F.lit(""))
+        return _node(F.concat(node["path"], F.lit("."), between, last), last, e["value"])
+
+    return F.transform(_typed(node["t"]), child)
 
 
 def _leaf_value(node: Column) -> Column:
@@ -171,11 +193,11 @@ def with_flat_map(df: DataFrame, raw: str, top: str, out: str, depth: int = LEVE
     staged = df.withColumn("_level0", F.when(is_nested, start))
     levels = [F.col("_level0")]
     for i in range(1, depth + 1):
-        below = F.flatten(F.transform(F.filter(levels[-1], _is_object), _children))
+        below = F.flatten(F.transform(F.filter(levels[-1], _is_object), _lifted_children if i == depth else _children))
         staged = staged.withColumn(f"_level{i}", below)
         levels.append(F.col(f"_level{i}"))
     leaves = [F.filter(level, lambda n: ~_is_object(n)) for level in levels]
-    staged = staged.withColumn("_inner", F.concat(*leaves[1:-1], F.transform(leaves[-1], _lifted_node)))
+    staged = staged.withColumn("_inner", F.concat(*leaves[1:]))
     short = F.array_sort(F.filter("_inner", lambda n: ~n["s"].isin("OBJ", "ARR", "VOI")))
     staged = staged.withColumn(
         "_entries",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..fixed_values import SEVERITIES
 from ..schema import source_display, threat_level
@@ -56,17 +56,20 @@ def host_day_score(detections: DataFrame) -> DataFrame:
 
 
 def report_header(
-    events: DataFrame, detections: DataFrame, duration_secs: float | Column = 0.0, generated_at: Column | None = None
+    events: DataFrame | int, detections: DataFrame, duration_secs: float | Column = 0.0, generated_at: Column | None = None
 ) -> DataFrame:
     """The report without its detections list, as one row: events processed, score, summary.
 
     Both inputs are aggregated to one row before they meet. Pass stored or cached detections;
-    else they are computed here once more.
+    else they are computed here once more. In place of the events their number may be given, as ``write_events`` returns it.
     """
     duration = duration_secs if isinstance(duration_secs, Column) else F.lit(float(duration_secs))
-    counted = events.agg(F.count("*").alias("events_processed"))
     summed = detections.agg(_total_score().alias("_score"), *_severity_counts())
-    return assembled(counted.crossJoin(summed), duration, generated_at)
+    if isinstance(events, int):
+        counted = summed.withColumn("events_processed", F.lit(events).cast("bigint"))
+    else:
+        counted = events.agg(F.count("*").alias("events_processed")).crossJoin(summed)
+    return assembled(counted, duration, generated_at)
 
 
 def assembled(counts: DataFrame, duration: Column, generated_at: Column | None = None) -> DataFrame:
@@ -96,18 +99,25 @@ def write_detections(detections: DataFrame, path: str, fmt: str = "parquet", mod
     detections.write.format(fmt).mode(mode).save(path)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "errorifexists", files_per_day: int = 4) -> None:
+def write_events(events: DataFrame, path: str, mode: str = "errorifexists", files_per_day: int = 4) -> int:
     """Store normalised events by type and day, so that each rule family reads only its own
     types and any time filter prunes whole folders. A type's day goes to ``files_per_day`` tasks,
-    and so to as many files, however many tasks read the input."""
+    and so to as many files, however many tasks read the input.
+
+    Returns how many events were written, counted while they are written. The count stands behind the shuffle, in the
+    tasks that write, because a map task that runs again after a lost executor would count its rows twice.
+    """
     salt = F.pmod(F.xxhash64("seq"), F.lit(files_per_day))
+    written = Observation()
     (
         events.withColumn("day", F.to_date("ts"))
         .repartition("event_type", "day", salt)
+        .observe(written, F.count(F.lit(1)).alias("events"))
         .write.partitionBy("event_type", "day")
         .mode(mode)
         .parquet(path)
     )
+    return written.get["events"]
 
 
 def write_report(header: DataFrame, detections: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -34,20 +34,33 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [p for p in paths if found(p)]
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], ignore_missing: bool = False) -> DataFrame:
+def lenient_text(spark: SparkSession, paths: Sequence[str], **options: str) -> DataFrame:
+    """Text lines; behind the fault of a broken file the read goes on with the next file."""
+    return spark.read.options(ignoreCorruptFiles="true", ignoreMissingFiles="true", **options).text(list(paths))
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:(//)?", "")
+
+
+def read_lines(
+    spark: SparkSession, paths: str | Sequence[str], ignore_missing: bool = False, skip_unreadable: bool = False
+) -> DataFrame:
     """Text lines with ``seq`` (line order within a file) and the file they came from.
 
-    A missing path raises, unless ``ignore_missing`` drops it.
+    A missing path raises, unless ``ignore_missing`` drops it. A file that cannot be read to its end fails the job, unless
+    ``skip_unreadable`` keeps the lines before the fault and goes on; ``failures.file_status`` lists such files.
     """
     paths = sorted([paths] if isinstance(paths, str) else paths)
     if ignore_missing:
         paths = existing(spark, paths)
     if not paths:
         return spark.createDataFrame([], "seq bigint, value string, file string")
-    return spark.read.text(paths).select(
+    text = lenient_text(spark, paths) if skip_unreadable else spark.read.text(paths)
+    return text.select(
         F.monotonically_increasing_id().alias("seq"),
         F.btrim("value", F.lit(WHITESPACE)).alias("value"),
-        F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("file"),
+        file_name(F.col("_metadata.file_path")).alias("file"),
     )
 
 
@@ -109,11 +122,11 @@ def syslog_records(
     return _records(lines.where(F.col("value") != ""), source, raw, received_at)
 
 
-def read_json_events(spark, paths, *, received_at: Column | None = None, ignore_missing: bool = False) -> DataFrame:
-    return json_records(read_lines(spark, paths, ignore_missing), received_at)
+def read_json_events(spark, paths, *, received_at: Column | None = None, **reading: bool) -> DataFrame:
+    return json_records(read_lines(spark, paths, **reading), received_at)
 
 
 def read_syslog_events(
-    spark, paths, *, default_host: str = DEFAULT_HOST, received_at: Column | None = None, ignore_missing: bool = False
+    spark, paths, *, default_host: str = DEFAULT_HOST, received_at: Column | None = None, **reading: bool
 ) -> DataFrame:
-    return syslog_records(read_lines(spark, paths, ignore_missing), default_host, received_at)
+    return syslog_records(read_lines(spark, paths, **reading), default_host, received_at)

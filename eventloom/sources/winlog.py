@@ -105,6 +105,6 @@ def winlog_records(lines: DataFrame, received_at: Column | None = None) -> DataF
     return _records(flat, source_column("evtx", F.col("file"), channel=""), F.col("flat"), received_at)
 
 
-def read_winlog_events(spark, paths, *, received_at: Column | None = None, ignore_missing: bool = False) -> DataFrame:
+def read_winlog_events(spark, paths, *, received_at: Column | None = None, **reading: bool) -> DataFrame:
     """Exported record JSON, one record per line."""
-    return winlog_records(read_lines(spark, paths, ignore_missing), received_at)
+    return winlog_records(read_lines(spark, paths, **reading), received_at)

@@ -70,6 +70,19 @@ def test_count_sum_distinct(spark, seed, window, slice_secs):
     assert got == want
 
 
+def test_blocks_of_slices(spark, monkeypatch):
+    """A key whose slices fill many blocks, with silent blocks between: equal to brute force, no task holds all slices."""
+    monkeypatch.setattr(C, "SLICES_OF_A_BLOCK", 4)
+    rows = make_rows(11, n=300, keys=2, span=700)
+    df = spark.createDataFrame(rows, SCHEMA)
+    counts = C.trailing_count(df, ["key"], 150e-6, emit=F.col("kind") != "t", slice_secs=2e-6)
+    want = {e[1]: sum(c[0] == e[0] for c in trailing(rows, e, 150)) if e[0] else 0 for e in rows if e[3] != "t"}
+    assert {r.seq: r.n for r in counts.collect()} == want
+    distinct = C.trailing_distinct(df, ["key"], 90e-6, F.col("value"), slice_secs=1e-6)
+    want = {e[1]: len({c[4] for c in trailing(rows, e, 90) if c[0] == e[0] and c[4]}) if e[0] else 0 for e in rows}
+    assert {r.seq: r.n for r in distinct.collect()} == want
+
+
 def test_window_edge_is_inclusive(spark):
     rows = [("a", 0, 0, "p", "x", 1), ("a", 1, 120_000_000, "p", "x", 1), ("a", 2, 120_000_001, "p", "y", 1)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -1,12 +1,14 @@
 """Sources and normalisation on hand-made records."""
 
+import gzip
 import json
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators.normalize import is_json, json_object, json_text, normalize, with_flat_map
+from eventloom.operators.normalize import is_json, is_shallow, json_object, json_text, normalize, with_flat_map
+from eventloom.sources.failures import file_status, source_failures
 from eventloom.sources.lines import bad_json_lines, json_records, number_repeats, read_json_events, read_lines, read_syslog_events
 from eventloom.sources.packets import decode_packets, packet_records
 from eventloom.sources.union import read_sources, union_records
@@ -64,6 +66,57 @@ def test_missing_and_empty(spark, tmp_path):
         read_sources(spark)
 
 
+def test_unreadable_files(spark, tmp_path):
+    lines = "".join(f'{{"event_type":"login_failure","n":{i * 7919 % 100_003}}}\n' for i in range(20_000)).encode()
+    packed = gzip.compress(lines)
+    files = {
+        "good.json.gz": packed, "two.json.gz": packed + packed, "cut.json.gz": packed[: len(packed) // 2], "no.json.gz": b"not packed\n",
+        "plain.json": lines, "open.json": b'{"a":1}\r\n{"a":2}', "marked.json": b'\xef\xbb\xbf{"a":1}\n', "empty.json": b"", "x.json.lz4": b"?",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    none = str(tmp_path / "none.json")
+    paths = [f"{tmp_path}/*.json*", none]
+    want = {
+        "good.json.gz": "ok", "two.json.gz": "ok", "cut.json.gz": "incomplete", "no.json.gz": "incomplete", "plain.json": "ok",
+        "open.json": "ok", "marked.json": "ok", "x.json.lz4": "unchecked", "none.json": "missing",
+    }
+    for bound in (1 << 28, 1000):  # the smaller bound makes every packed file a read of its own
+        got = {r.file.rsplit("/", 1)[1]: r.status for r in file_status(spark, paths, content_bytes=bound).collect()}
+        assert got == want
+    assert {r.file.rsplit("/", 1)[1] for r in source_failures(spark, paths).collect()} == {"cut.json.gz", "no.json.gz", "none.json"}
+    assert file_status(spark, [none]).collect() == [(none, None, "missing")]
+    two = [str(tmp_path / "cut.json.gz"), str(tmp_path / "plain.json")]
+    with pytest.raises(Exception):
+        read_lines(spark, two).count()
+    kept = {r.file.rsplit("/", 1)[1]: r["count"] for r in read_lines(spark, two, skip_unreadable=True).groupBy("file").count().collect()}
+    assert kept["plain.json"] == 20_000 and 0 < kept["cut.json.gz"] < 20_000
+    assert read_sources(spark, json=[two[1]], skip_unreadable=True, content_ids=True).count() == 20_000
+
+
+def test_marks_and_depth(spark):
+    """U+0001 and U+0002 in keys at every level, and braces inside texts."""
+    def nested(depth, key, value="v"):
+        record = {key: value, "b": "2"}
+        for _ in range(depth):
+            record = {"n": record}
+        return json.dumps(record)
+
+    keys = ["g\x01h", "\x01cmd", "\x01x\x01cmd", "\x02a", "\x02b\x01\x02", "\x01", "", "\x01\x02a"]
+    cases = [(depth, key) for depth in (0, 4, 5, 6, 8) for key in keys]
+    got = events(spark, [nested(d, k) for d, k in cases])
+    for i, (depth, key) in enumerate(cases):
+        want = {k: v for name, v in ((key, "v"), ("b", "2")) for k in ("n." * depth + name, name)}
+        assert got[i].metadata == want, (depth, key)
+    path = '{"a":{"k\\u0001":{"":{"":{"":{"":{"":{"x\\u0001cmd":"v"}}}}}}}}'
+    assert events(spark, [path])[0].metadata == {"a.k\x01......x\x01cmd": "v", "x\x01cmd": "v"}
+    script = json.dumps({"script": "{" * 50 + '\\"{', "o": [{"a": {}}] * 9, "n": {"m": 1}})
+    shapes = {script: True, nested(5, "k"): True, nested(6, "k"): False, '{"a":"\\\\","b":' + nested(6, "k") + "}": False}
+    frame = spark.createDataFrame([(s,) for s in shapes], "raw string")
+    assert {r.raw: r.ok for r in frame.select("raw", is_shallow(F.col("raw")).alias("ok")).collect()} == shapes
+    assert events(spark, [script])[0].metadata == {"script": "{" * 50 + '\\"{', "n.m": "1", "m": "1"}
+
+
 def test_syslog(spark, tmp_path):
     path = tmp_path / "s.log"
     path.write_text('Jan 1 su: "root" failed\n\n{"event_type":"login_failure","host":"Z"}\n// kept\n')
