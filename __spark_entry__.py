@@ -24,11 +24,12 @@ from eventloom.operators.cooccurrence import co_occurrence  # noqa: E402
 from eventloom.operators.normalize import host_filter, normalize  # noqa: E402
 from eventloom.plans import sigma  # noqa: E402
 from eventloom.plans.builtin import builtin_rules  # noqa: E402
-from eventloom.plans.custom import context_rule  # noqa: E402
+from eventloom.plans.custom import batch_rule, context_rule  # noqa: E402
 from eventloom.plans.detect import detect  # noqa: E402
 from eventloom.plans.rules import Branch, RuleSet, StatelessRule  # noqa: E402
 from eventloom.session import checkpoint_dir  # noqa: E402
-from eventloom.sources.lines import bad_json_lines, json_records, syslog_records  # noqa: E402
+from eventloom.sources.failures import file_status  # noqa: E402
+from eventloom.sources.lines import bad_json_lines, json_records, number_repeats, read_lines, syslog_records  # noqa: E402
 from eventloom.sources.packets import packet_records  # noqa: E402
 from eventloom.sources.union import union_records  # noqa: E402
 from eventloom.sources.winlog import winlog_records  # noqa: E402
@@ -162,8 +163,28 @@ def _report_queries() -> dict[str, Query]:
         rule = context_rule("MY-BURST", "Burst", evaluate, keys=["host"], columns=[], types=["login_failure"])
         return _rows(detect(_events(spark, sf_dir), RuleSet([rule]), WINDOW_SECS)).select("seq", "evidence")
 
+    def custom_rule_batches(spark, sf_dir):
+        """The same rule over whole arrays, in buckets of an eighth of the window."""
+        def evaluate(windows):
+            fired = (windows.sizes % 10 == 0).nonzero()[0]
+            return fired, ["Low"] * len(fired), [[f"{n} in window"] for n in windows.sizes[fired]]
+
+        rule = batch_rule(
+            "MY-BURST", "Burst", evaluate, keys=["host"], columns=[], types=["login_failure"], bucket_secs=WINDOW_SECS / 8
+        )
+        return _rows(detect(_events(spark, sf_dir), RuleSet([rule]), WINDOW_SECS)).select("seq", "evidence")
+
+    def report_counted(spark, sf_dir):
+        """The report over stored events that were counted while they were written."""
+        path = f"{checkpoint_dir(_utc(spark))}/events-{uuid.uuid4().hex}"
+        written = report.write_events(_events(spark, sf_dir), path)
+        header = report.report_header(written, detect(spark.read.parquet(path), window_secs=WINDOW_SECS))
+        return header.select("events_processed", "score.score", "score.threat_level", "summary.*")
+
     return {
         "report_json": report_json,
+        "custom_rule_batches": custom_rule_batches,
+        "report_counted": report_counted,
         "detections_sink": detections_sink,
         "custom_rule": custom_rule,
         "host_filter": lambda spark, sf: host_filter(_events(spark, sf), ["h3", "H7"]).select("seq", "host", "event_type"),
@@ -302,7 +323,48 @@ def _source_queries() -> dict[str, Query]:
         out = normalize(union_records([records, lines] * 8 + [records]))
         return out.groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("seq").alias("numbers"))
 
-    return {f.__name__: f for f in (union_sources, timestamps, private_ip, json_flatten_alias, classify, json_lines, syslog_lines, windows_records, packets)}
+    def json_deep(spark, sf_dir):
+        """Records nested up to eleven levels, with U+0001 in keys and a text full of braces."""
+        depth = k() % 12
+        leaf = F.concat(
+            F.lit('{"x\\u0001cmd":"'), text(k()), F.lit('","cmd":"v'), text(k()), F.lit('","script":"' + "{" * 50 + '"}'),
+        )
+        value = F.concat(F.repeat(F.lit('{"n":'), depth), leaf, F.repeat(F.lit("}"), depth))
+        out = normalize(json_records(_sample_lines(spark, sf_dir, value), F.col("ts")))
+        m = F.col("metadata")
+        marked = F.map_filter(m, lambda name, v: F.endswith(name, F.lit("x\x01cmd")))
+        return out.select(
+            "seq", "cmd", m["x\x01cmd"].alias("marked"), F.length(m["script"]).alias("script"), F.size(m).alias("fields"),
+            F.array_max(F.transform(F.map_keys(marked), lambda name: F.length(name))).alias("longest"),
+        )
+
+    def event_identity(spark, sf_dir):
+        """Event ids from content and which repeat a record is, whatever splits it came in."""
+        records = json_records(_sample_lines(spark, sf_dir, F.col("props")), F.col("ts"))
+        return normalize(number_repeats(records)).select("event_id")
+
+    def source_failures(spark, sf_dir):
+        """The table as packed files of lines in four folders, one of them cut in the middle, and a path that is not there."""
+        base = f"{checkpoint_dir(_utc(spark))}/lines-{uuid.uuid4().hex}"
+        lines = _sample_lines(spark, sf_dir, F.col("props")).select(F.col("value"), (k_of("value") % 4).alias("part"))
+        lines.repartition("part").write.partitionBy("part").option("compression", "gzip").text(base)
+        hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+        files = hadoop.fs.Path(base).getFileSystem(conf)
+        whole = files.globStatus(hadoop.fs.Path(f"{base}/part=0/*.gz"))[0]
+        cut = files.create(hadoop.fs.Path(f"{base}/part=4/cut.gz"))
+        hadoop.io.IOUtils.copyBytes(files.open(whole.getPath()), cut, whole.getLen() // 2, True)
+        paths = [f"{base}/part={i}" for i in range(6)]
+        status = file_status(spark, paths).groupBy(part_of("file"), "status").count().drop("count")
+        read = read_lines(spark, paths, ignore_missing=True, skip_unreadable=True).groupBy(part_of("file")).agg(F.count("*").alias("lines"))
+        return status.join(read, "part", "left").select("part", "status", F.when(F.col("status") == "ok", F.col("lines")).alias("lines"))
+
+    def k_of(column):
+        return F.translate(column, "{\"k: }", "").cast("int")
+
+    def part_of(column):
+        return F.regexp_extract(column, "part=([0-9])", 1).cast("int").alias("part")
+
+    return {f.__name__: f for f in (json_deep, event_identity, source_failures, union_sources, timestamps, private_ip, json_flatten_alias, classify, json_lines, syslog_lines, windows_records, packets)}
 
 
 def _sigma_queries() -> dict[str, Query]:
@@ -408,7 +470,12 @@ def _stream_queries() -> dict[str, Query]:
         header = _live(spark, sf_dir).report()
         return header.select("events_processed", "score.score", "score.threat_level", "summary.*")
 
+    def running_score(spark, sf_dir):
+        """Detections and score per severity, from the records of the batches of a stream."""
+        return _live(spark, sf_dir).running_score()
+
     return {
+        "running_score": running_score,
         "stream_detections": stream_detections,
         "stream_distinct": stream_distinct,
         "stream_presence": stream_presence,

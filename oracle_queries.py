@@ -438,6 +438,20 @@ def oracle_queries() -> dict[str, str]:
         ),
         "detections_sink": with_view("SELECT rule_id, seq, severity, score, evidence FROM det", ALL_DETECTIONS_CTE),
         "custom_rule": with_view(f"SELECT seq, n || ' in window' AS evidence FROM {counted('host', FAILURE)} WHERE n % 10 = 0"),
+        "running_score": with_view(
+            "SELECT severity, count(*) AS detections, CAST(sum(score) AS BIGINT) AS score FROM det GROUP BY 1", ALL_DETECTIONS_CTE
+        ),
+        "json_deep": with_view(
+            "SELECT seq, 'v' || k AS cmd, CAST(k AS VARCHAR) AS marked, 50 AS script, CASE WHEN k % 12 = 0 THEN 3 ELSE 6 END AS fields,"
+            " 2 * (k % 12) + 5 AS longest FROM ev0"
+        ),
+        "event_identity": (
+            "SELECT sha256('json|events|' || row_number() OVER (PARTITION BY props ORDER BY event_id) || '|' || props) AS event_id FROM events"
+        ),
+        "source_failures": with_view(
+            "SELECT k % 4 AS part, 'ok' AS status, count(*) AS lines FROM ev0 GROUP BY 1"
+            " UNION ALL SELECT 4, 'incomplete', NULL UNION ALL SELECT 5, 'missing', NULL"
+        ),
         "timestamps": with_view("SELECT seq, CASE WHEN k % 7 = 0 THEN epoch_us(TIMESTAMP '2000-01-01') ELSE us END AS us FROM ev0"),
         "private_ip": (
             "SELECT seq, ip, regexp_matches(ip, '^(10\\.|127\\.|169\\.254\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS private FROM ("
@@ -482,7 +496,8 @@ def oracle_queries() -> dict[str, str]:
     found = "SELECT rule_id, seq, severity, score, evidence FROM det"
     distinct_rules = "'NET-PORTSCAN-001', 'NET-SMBLAT-001', 'AUTH-SPRAY-001'"
     out["stream_detections"] = out["detections"]
-    out["stream_report"] = out["report"]
+    out["stream_report"] = out["report_counted"] = out["report"]
+    out["custom_rule_batches"] = out["custom_rule"]
     out["stream_presence"] = out["rule_REG-PERSIST-001"]
     out["stream_distinct"] = with_view(f"{found} WHERE rule_id IN ({distinct_rules})", ALL_DETECTIONS_CTE)
     out["stream_lateral"] = with_view(

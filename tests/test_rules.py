@@ -12,7 +12,7 @@ from eventloom.operators import report
 from eventloom.operators.normalize import normalize
 from eventloom.plans import sigma
 from eventloom.plans.builtin import builtin_rules
-from eventloom.plans.custom import context_rule
+from eventloom.plans.custom import batch_rule, context_rule
 from eventloom.plans.detect import detect, rule_set
 from eventloom.plans.rule_index import RuleIndex
 from eventloom.plans.rules import Branch, FrameRule, LevelRule, RuleSet, StatelessRule
@@ -357,6 +357,29 @@ def test_custom_rules(spark):
     assert len(assembled) == len(builtin_rules()) and assembled.errors
 
 
+def test_batch_rules_over_short_buckets(spark):
+    """Windows that reach over many buckets give what one bucket gives; one call per bucket, silent stretches included."""
+    rows = [(f"e{i}", i, (i * 37 % 211) * 1_000_000, f"h{i % 2}" if i % 9 else None, "x", i * 5 % 17) for i in range(180)]
+    frame = spark.createDataFrame(rows, "event_id string, seq bigint, us bigint, host string, event_type string, amount bigint")
+
+    def heavy(windows):
+        total, sizes = windows.sums(windows.rows["amount"].to_numpy()), windows.sizes
+        fired = (total > 60).nonzero()[0]
+        return fired, ["Low"] * len(fired), [[f"{sizes[i]} of {total[i]}"] for i in fired]
+
+    for window, bucket in ((24, 3), (24, None), (24, 100), (0, 5)):
+        rule = batch_rule("MY-SUM", "Sum", heavy, keys=["host"], columns=["amount"], bucket_secs=bucket)
+        got = {r.seq: (r.severity, r.event_ids, r.evidence) for r in rule.find(frame, window).collect()}
+        want = {}
+        for name, seq, us, host, _, _ in rows:
+            inside = [r[5] for r in rows if r[3] == host and us - window * 1_000_000 <= r[2] and (r[2], r[1]) <= (us, seq)]
+            if host and sum(inside) > 60:
+                want[seq] = ("Low", [name], [f"{len(inside)} of {sum(inside)}"])
+        assert got == want
+    assert not want  # a window of nothing but the event itself
+    assert rule.find(frame.where("false"), 24).count() == 0
+
+
 def test_failing_jobs_and_broken_built_ins_raise(spark):
     def job(events, window_secs):
         return events.select(F.raise_error(F.lit("lost"))).collect()
