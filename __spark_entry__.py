@@ -352,7 +352,10 @@ def _source_queries() -> dict[str, Query]:
         files = hadoop.fs.Path(base).getFileSystem(conf)
         whole = files.globStatus(hadoop.fs.Path(f"{base}/part=0/*.gz"))[0]
         cut = files.create(hadoop.fs.Path(f"{base}/part=4/cut.gz"))
-        hadoop.io.IOUtils.copyBytes(files.open(whole.getPath()), cut, whole.getLen() // 2, True)
+        packed = files.open(whole.getPath())
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(packed, cut, 0, whole.getLen() // 2)
+        packed.close()
+        cut.close()
         paths = [f"{base}/part={i}" for i in range(6)]
         status = file_status(spark, paths).groupBy(part_of("file"), "status").count().drop("count")
         read = read_lines(spark, paths, ignore_missing=True, skip_unreadable=True).groupBy(part_of("file")).agg(F.count("*").alias("lines"))
