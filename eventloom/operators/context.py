@@ -199,7 +199,8 @@ def running_levels(
     ).where("_emit")
 
     # One row per key and busy slice: bounded by elapsed time, not by the number of events.
-    totals = cut.groupBy(*group).agg(
+    # Rows with a null key are nobody's context, and the join below would not find their totals.
+    totals = cut.where(_no_null_key(keys)).groupBy(*group).agg(
         F.max("_emit").alias("_wanted"), *[F.sum(m).alias(m) for m in measures]
     )
     carried = carried_levels(totals, keys, measures)
@@ -226,10 +227,15 @@ def carried_levels(totals: DataFrame, keys: Sequence[str], measures: Sequence[st
     along = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocked = totals.withColumn("_block", slice_of(F.col("_slice"), SLICES_OF_A_BLOCK))
     blocks = blocked.groupBy(*keys, "_block").agg(F.max("_wanted").alias("_wanted"), *[F.sum(m).alias(m) for m in measures])
-    openings = blocks.select(*keys, "_block", "_wanted", *[F.sum(m).over(along).alias(m) for m in measures]).where("_wanted")
+    # Renamed keys, and the openings first in the union: so both branches keep the same plan up to the totals, and the
+    # shuffle that makes them is run once.
+    openings = blocks.select(
+        *[F.col(k).alias(k) for k in keys], F.col("_block").alias("_block"), F.lit(None).cast("bigint").alias("_slice"),
+        F.col("_wanted").alias("_wanted"), *[F.sum(m).over(along).alias(m) for m in measures],
+    ).where("_wanted")
 
     inside = Window.partitionBy(*keys, "_block").orderBy(F.col("_slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    opened = blocked.unionByName(openings.withColumn("_slice", F.lit(None).cast("bigint")))
+    opened = openings.unionByName(blocked)
     carried = opened.select(
         *keys, "_slice", "_wanted", *[F.sum(m).over(inside).alias(f"_carry_{m}") for m in measures]
     )
