@@ -1,7 +1,8 @@
 """Chat formatting: a finite-state machine over roles and a declarative template.
 
-The machine walks a conversation's turns in order and says whether each one may follow. Every turn becomes segments
-(text, loss): the opening mark, the escaped text and the closing mark; the loss flag of a text comes from its role.
+The machine walks a conversation's turns in order. Each step says whether the turn may follow and emits its segments
+(text, loss): the opening mark, the escaped text and the closing mark; the loss flag comes from the role and the state.
+After the first turn out of order the machine is astray and stays so: turns are still written, none is in order.
 Texts are escaped so that no mark occurs inside them: a backslash doubles, and one goes behind the first character of
 each mark. Reading back finds marks and takes the escapes out.
 
@@ -29,6 +30,8 @@ class Template:
     other: tuple = ("[ROLE]", "[/ROLE]", "[END]")
     loss_roles: tuple = ("assistant",)
     order: dict = field(default_factory=lambda: {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
+    #: Whether texts count for the loss from the first turn out of order on.
+    loss_astray: bool = True
 
     def marks(self) -> list[str]:
         """All control strings, longest first; each starts with a character that stands nowhere else in a mark."""
@@ -36,6 +39,10 @@ class Template:
         return sorted(found, key=lambda m: (-len(m), m))
 
 
+#: The machine's states besides the roles, each of which is the state after a turn of that role in order.
+START, ASTRAY = object(), object()
+
+
 class Formatter:
     def __init__(self, template: Template):
         self.template = template
@@ -55,26 +62,31 @@ class Formatter:
     def unescape(text: str) -> str:
         return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
-    def segments(self, turns) -> Iterator[tuple[str, bool]]:
-        """(role, text) pairs to (text, loss) segments."""
+    def step(self, state: object, role: str | None) -> tuple[object, tuple[str, str, bool]]:
+        """From a state on a role: the next state, and what the turn is written with (opening mark, closing mark, loss)."""
         t = self.template
+        follows = () if state is ASTRAY else t.order.get(None if state is START else state, ())
+        after = role if role is not None and role in follows else ASTRAY
+        # A null role is written as an empty name with one backslash, which no escaped name is.
+        opening = t.opens.get(role) or t.other[0] + ("\\0" if role is None else self.escape(role)) + t.other[1]
+        return after, (opening, t.closes.get(role, t.other[2]), role in t.loss_roles and (t.loss_astray or after is not ASTRAY))
+
+    def walk(self, turns) -> Iterator[tuple[bool, list[tuple[str, bool]]]]:
+        """For each (role, text) pair whether it is in order, and its segments (text, loss)."""
+        state: object = START
         for role, text in turns:
-            if role in t.opens:
-                yield t.opens[role], False
-            else:
-                # A null role is written as an empty name with one backslash, which no escaped name is.
-                yield t.other[0] + ("\\0" if role is None else self.escape(role)) + t.other[1], False
-            yield self.escape(text), role in t.loss_roles
-            yield t.closes.get(role, t.other[2]), False
-
-    def first_bad_turn(self, roles) -> int:
-        """Place of the first turn whose role may not stand there, or -1."""
-        state = None
-        for at, role in enumerate(roles):
-            if role is None or role not in self.template.order.get(state, ()):
-                return at
-            state = role
-        return -1
+            state, (opening, closing, loss) = self.step(state, role)
+            yield state is not ASTRAY, [(opening, False), (self.escape(text), loss), (closing, False)]
+
+    def written(self, turns) -> tuple[list[tuple[str, bool]], int]:
+        """The segments of all turns, and the place of the first turn out of order, or -1."""
+        segments: list[tuple[str, bool]] = []
+        bad = -1
+        for at, (fits, own) in enumerate(self.walk(turns)):
+            segments += own
+            if bad < 0 and not fits:
+                bad = at
+        return segments, bad
 
     def read(self, text: str) -> list[tuple[str | None, str]]:
         """The turns of a formatted conversation."""
@@ -106,7 +118,8 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 
     Null text counts as empty, a null role is kept as null and out of order; rows without an id make one conversation.
     Turns are ordered by turn (null last), then role and text, so that ties and repeated rows have a fixed place.
-    Conversations out of order are formatted like the others.
+    Conversations out of order are formatted like the others; the template's loss_astray says whether their texts count
+    for the loss from the bad turn on.
     """
     formatter = Formatter(template or Template())
 
@@ -116,9 +129,8 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
         ready: list[tuple] = []
 
         def close():
-            segments = list(formatter.segments(held))
-            text = "".join(s for s, _ in segments)
-            ready.append((held_id, text, [{"text": s, "loss": f} for s, f in segments], formatter.first_bad_turn([r for r, _ in held])))
+            segments, bad = formatter.written(held)
+            ready.append((held_id, "".join(s for s, _ in segments), [{"text": s, "loss": f} for s, f in segments], bad))
 
         def frame() -> pd.DataFrame:
             out = pd.DataFrame(ready, columns=["conv_id", "formatted", "segments", "bad_turn"])
@@ -144,19 +156,19 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """From the formatted text and its segments: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """From the formatted text and its segments: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, bad_turn."""
     formatter = Formatter(template or Template())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for conv, text, segments in zip(batch["conv_id"].astype("Int64"), batch["formatted"], batch["segments"]):
+            for conv, text, segments, bad in zip(batch["conv_id"].astype("Int64"), batch["formatted"], batch["segments"], batch["bad_turn"]):
                 turns = formatter.read(text)
                 loss = "".join(formatter.unescape(s["text"]) for s in segments if s["loss"])
                 whole = "".join(f"{r or ''}\n{t}\n" for r, t in turns)
-                rows.append((conv, len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+                rows.append((conv, len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text), bad))
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "bad_turn"]).astype({"conv_id": "Int64"})
 
-    return formatted.select("conv_id", "formatted", "segments").mapInPandas(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted.select("conv_id", "formatted", "segments", "bad_turn").mapInPandas(
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, bad_turn int"
     )

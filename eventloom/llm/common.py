@@ -45,6 +45,12 @@ def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFr
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def small_by_bytes(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """As small_side, by the sum of row_bytes and of 64 bytes a row, for rows of unequal size."""
+    size = df.agg(F.sum(row_bytes.cast("long") + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from eventloom.llm.common import _OTHER, batches_of_texts, mixed, small_side, stored, text_or_empty, word_hashes
+from eventloom.llm.common import _OTHER, batches_of_texts, mixed, small_by_bytes, small_side, stored, text_or_empty, word_hashes
 
 # Fixed values, found by exhaustive search: every stretch of 13 words or more that starts and ends with an equal word and has
 # 80 % equal ones holds one of the masks, wherever the others are. A test goes through all stretches.
@@ -136,9 +136,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("content")).where("doc_id is not null")
     hits = rows.mapInPandas(doc_seeds, "h long, doc_id long, at long")
-    placed = hits.join(small_side(seeds, 32), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("lies")).distinct()
-    with_words = placed.join(small_side(items, 1024), "item_id")
+    placed = hits.join(small_side(seeds, 32), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("lies"))
+    # A row per document and item, so that an item's words come once however many hits it has.
+    pairs = placed.groupBy("doc_id", "item_id").agg(F.collect_set("lies").alias("lies"))
+    with_words = pairs.join(small_by_bytes(items, F.length("words")), "item_id")
     by_doc = stored(with_words.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("item_id", "lies", "words")).alias("hits")), "hits")
+    hit_bytes = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + F.length(h["words"]) + 8 * F.size(h["lies"]) + 32)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,18 +149,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
             words, places, *_ = word_hashes(batch["content"], _OTHER)
             for doc, hits, a, b in zip(batch["doc_id"], batch["hits"], places[:-1], places[1:]):
                 own = words[a:b]
-                for hit in hits:
-                    item, lies = np.frombuffer(hit["words"], dtype=np.uint64), hit["lies"]
+                for item_id, lies, item in ((hit["item_id"], int(at), np.frombuffer(hit["words"], dtype=np.uint64)) for hit in hits for at in hit["lies"]):
                     first, last = max(0, -lies), min(len(item), len(own) - lies)
                     if last <= first:
                         continue
                     equal = own[first + lies : last + lies] == item[first:last]
                     s, e = longest_overlap(equal, share)
                     if e - s >= min(least, len(item)):
-                        found.append((doc, hit["item_id"], first + lies + s, first + s, e - s, int(equal[s:e].sum())))
+                        found.append((doc, item_id, first + lies + s, first + s, e - s, int(equal[s:e].sum())))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_word", "item_start", "n_words", "equal_words"])
 
-    texts = rows.join(small_side(by_doc, 2048), rows["doc_id"] == by_doc["of"]).select("doc_id", "content", "hits")
+    texts = rows.join(small_by_bytes(by_doc, hit_bytes), rows["doc_id"] == by_doc["of"]).select("doc_id", "content", "hits")
     verified = texts.mapInPandas(verify, "doc_id long, item_id long, start_word long, item_start long, n_words long, equal_words long")
     best = F.max(F.struct("n_words", "equal_words", (-F.col("start_word")).alias("back"), "item_start"))
     out = verified.groupBy("doc_id", "item_id").agg(best.alias("b"))

@@ -18,7 +18,7 @@ def test_line_dedup_equals_brute_force(spark):
     assert all(r.text is None or r.n_chars == len(r.text) for r in kept.collect()) and kept.count() == len(rows)
 
 
-def test_line_runs_keep_levels_and_fresh_lines(spark):
+def test_line_runs_keep_levels_and_hold_every_line_once(spark):
     runs = line_dedup.LineRuns(spark, fan_in=2, buckets=2)
     for batch in range(5):
         data = [(bytes([k]), batch * 10 + d) for k in range(batch, batch + 3) for d in range(2)]
@@ -26,7 +26,30 @@ def test_line_runs_keep_levels_and_fresh_lines(spark):
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     whole = {bytes(r.key): (r.n_docs, r.last_doc) for r in runs.whole().collect()}
     assert len(whole) == 7 and whole[bytes([2])] == (6, 21) and whole[bytes([6])] == (2, 41)
-    assert runs.fresh_lines().count() == 7
+    held = [bytes(r.key) for level in runs.levels for name in level for r in spark.table(name).collect()]
+    assert sorted(held) == sorted(whole)  # the anti-join leaves a line in the run that brought it first
+    again = {}
+    for level in runs.updates:
+        for name in level:
+            for r in spark.table(name).collect():
+                again[bytes(r.key)] = again.get(bytes(r.key), 0) + r.n_docs
+    assert again == {k: n - 2 for k, (n, _) in whole.items() if n > 2}
+    names = [name for level in runs.levels + runs.updates for name in level]
+    runs.close()
+    assert not any(spark.catalog.tableExists(name) for name in names)
+
+
+def test_merging_runs_and_updates_does_not_shuffle(spark):
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = line_dedup.LineRuns(spark, fan_in=9, buckets=3)
+        for batch in range(2):
+            runs.add(spark.createDataFrame([(bytes([k]), batch) for k in range(batch, batch + 30)], "key binary, doc_id long"))
+        plan = runs.whole()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert "Exchange" not in plan
 
 
 @pytest.mark.parametrize("keep", ["max", "min"])

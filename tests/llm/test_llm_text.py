@@ -41,6 +41,7 @@ def test_conversations_read_back_as_written(spark):
         whole, loss = "".join(f"{r or ''}\n{x}\n" for r, x in own), "".join(x for r, x in own if r == "assistant")
         got = out[c]
         assert (got.n_turns, got.turns_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest()), c
+        assert got.bad_turn == bad[c]
         assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert bad[0] == -1 and bad[20] == 0 and bad[21] == 0 and bad[None] == -1
     assert chat_format.format_conversations(spark.createDataFrame([], CHAT)).count() == 0
@@ -50,8 +51,13 @@ def test_escapes_are_reversible_and_machine_finds_bad_turns():
     f, rng = Formatter(Template()), random.Random(3)
     for _ in range(2000):
         turns = [(rng.choice(["user", "assistant", "system", None, "to[ol"]), "".join(rng.choice(["\\", "[", "<", "s>", "/", "INST]", "[INST]", "</s>", "a", "[END]", "[/ANS]"]) for _ in range(rng.randrange(9)))) for _ in range(3)]
-        assert f.read("".join(s for s, _ in f.segments(turns))) == turns
-    assert f.first_bad_turn(["system", "user", "assistant", "assistant"]) == 3 and f.first_bad_turn([]) == -1
+        assert f.read("".join(s for s, _ in f.written(turns)[0])) == turns
+    bad = lambda *roles: f.written([(r, "x") for r in roles])[1]
+    assert bad("system", "user", "assistant", "assistant", "user") == 3 and bad() == -1 and bad("user", "assistant", "user") == -1
+    assert bad(None) == 0 and bad("assistant", "user") == 0 and bad("user", "tool", "assistant") == 1 and bad("user", None) == 1
+    turns = [("user", "a"), ("assistant", "b"), ("assistant", "c"), ("user", "d"), ("assistant", "e")]
+    loss = lambda t: [s for s, flag in Formatter(t).written(turns)[0] if flag]
+    assert loss(Template()) == ["b", "c", "e"] and loss(Template(loss_astray=False)) == ["b"]
     with pytest.raises(ValueError):
         Formatter(Template(opens={"user": "[A[B]"}, closes={"user": "<\\>"}))
 
