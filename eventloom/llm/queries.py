@@ -107,11 +107,11 @@ CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-placed AS (SELECT *, row_number() OVER w - 1 AS at, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+placed AS (SELECT *, row_number() OVER w - 1 AS spot, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 judged AS (
-  SELECT *, coalesce(CASE WHEN at = 0 THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
+  SELECT *, coalesce(CASE WHEN spot = 0 THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
                           WHEN before = 'user' THEN role = 'assistant' END, false) AS fits FROM placed)
-SELECT conv_id, coalesce(min(at) FILTER (NOT fits), -1)::INT AS bad_turn, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+SELECT conv_id, coalesce(min(spot) FILTER (NOT fits), -1)::INT AS bad_turn, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[/?(SYS|INST|ANS|ROLE)\]|\[END\]'))
