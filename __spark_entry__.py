@@ -35,7 +35,7 @@ from eventloom.sources.union import union_records  # noqa: E402
 from eventloom.sources.winlog import winlog_records  # noqa: E402
 from eventloom.streaming.live import LiveDetection, run_live  # noqa: E402
 from eventloom.streaming.detect import run_to_end, stream_co_occurrence, stream_stateless, stream_trailing  # noqa: E402
-from oracle_queries import CLASSIFY_IDS, DENSER, DISABLED_RULES, SIGMA_RULES, oracle_queries  # noqa: E402
+from oracle_queries import CLASSIFY_IDS, COMPAT_RULES, DENSER, DISABLED_RULES, SIGMA_RULES, oracle_queries  # noqa: E402
 
 try:
     import eventloom.llm.queries as llm_queries
@@ -390,8 +390,15 @@ def _sigma_queries() -> dict[str, Query]:
         rules = sigma.load_rules(texts=[SIGMA_RULES["contains_list"], {"title": "no condition"}])
         return _rows(detect(_events(spark, sf_dir), RuleSet([*rules, broken], dict(rules.errors)), WINDOW_SECS))
 
+    def compat(spark, sf_dir):
+        """Conditions that the strict reading refuses, read the lenient way; each one's refusal is checked first."""
+        texts = list(COMPAT_RULES.values())
+        if len(sigma.load_rules(texts=texts).errors) != len(texts):
+            raise ValueError("the strict reading takes a lenient condition")
+        return _rows(detect(_events(spark, sf_dir), sigma.load_rules(texts=texts, compat=True, strict=True), WINDOW_SECS))
+
     return {
-        **{f"sigma_{name}": one(name) for name in SIGMA_RULES}, "sigma_rule_table": rule_table, "rules_bad_isolated": rules_bad_isolated,
+        "sigma_compat": compat, **{f"sigma_{name}": one(name) for name in SIGMA_RULES}, "sigma_rule_table": rule_table, "rules_bad_isolated": rules_bad_isolated,
     }
 
 

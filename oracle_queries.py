@@ -166,14 +166,29 @@ SIGMA_SQL = {
     "one_of": ("High", "DnsQuery", "event_type = 'dns_query' AND (starts_with(query, 'aaaa') OR contains(query, '7.'))"),
     "all_of": ("High", "RegistryModification", "event_type = 'registry_modification' AND contains(lower(registry_key), '\\run') AND starts_with(registry_value, 'v8')"),
 }
+# Conditions that only the lenient reading takes: words after the end, a parenthesis as part of a name, "not 1" as a name
+# that no set has, "them" as a prefix that none has.
+_SETS = {"s": {"kind": "error"}, "t": {"host": "h2"}}
+COMPAT_RULES = {
+    name: {"title": f"lenient {name}", "level": "low", "logsource": {"category": "unmapped"}, "detection": {**_SETS, "condition": condition}}
+    for name, condition in {
+        "words_after": "s and t count by host", "parentheses": "(s) or t", "not_one_of": "t and not 1 of s", "of_them": "1 of them or s and t",
+    }.items()
+}
+COMPAT_SQL = {
+    "words_after": ("Low", None, "kind = 'error' AND host = 'H2'"),
+    "parentheses": ("Low", None, "host = 'H2'"),
+    "not_one_of": ("Low", None, "host = 'H2'"),
+    "of_them": ("Low", None, "kind = 'error' AND host = 'H2'"),
+}
 TYPE_LABEL = "CASE event_type " + " ".join(
     f"WHEN '{t}' THEN '{t.title().replace('_', '')}'" for t in V.EVENT_TYPES
 ) + " END"
 
 
 def sigma_sql(name: str) -> str:
-    severity, label, where = SIGMA_SQL[name]
-    title = SIGMA_RULES[name]["title"]
+    severity, label, where = {**SIGMA_SQL, **COMPAT_SQL}[name]
+    title = {**SIGMA_RULES, **COMPAT_RULES}[name]["title"]
     shown = q(label) if label else TYPE_LABEL
     return with_view(
         f"SELECT {q('SIGMA-' + title)} AS rule_id, seq, {q(severity)} AS severity, CAST({V.SEVERITY_WEIGHT[severity]} AS BIGINT) AS score,"
@@ -460,6 +475,7 @@ def oracle_queries() -> dict[str, str]:
             " FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events))"
         ),
         "rules_bad_isolated": sigma_sql("contains_list"),
+        "sigma_compat": " UNION ALL ".join(f"SELECT * FROM ({sigma_sql(name)})" for name in COMPAT_RULES),
         "union_sources": with_view(
             "SELECT t AS event_type, CAST(c * (SELECT count(*) FROM ev0) AS BIGINT) AS events, CAST(c * (SELECT count(*) FROM ev0) AS BIGINT) AS numbers"
             " FROM (VALUES ('login_failure', 9), ('unknown', 8)) x(t, c)"
