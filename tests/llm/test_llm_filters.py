@@ -203,3 +203,46 @@ def test_substitutions_in_short_items_and_in_the_least_stretch(spark):
             want.add((n * 1000 + k, n, 3, n, n - n // 5))
     found = decontamination.contaminated(docs(spark, rows), bench)
     assert {(r.doc_id, r.item_id, r.start_word, r.n_words, r.equal_words) for r in found.collect()} == want
+
+
+def test_secrets_are_learnt_from_all_documents(spark, monkeypatch):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(20)) for _ in range(4500)]
+    rows = [(i, f"w{i} {'token=' if i % 9 == 0 else ''}{k}") for i, k in enumerate(keys)]
+    seen = []
+    monkeypatch.setattr(secrets, "fitted", lambda findings, epochs, **_: seen.append({r.window for r in findings.select("window").collect()}))
+    assert secrets.train(docs(spark, rows)) is None
+    last = seen[-1]
+    found = {w for _, t in rows for s, e in [(t.index(" ") + 1, len(t))] for w in secrets.windows(t, s, e)}
+    kept = spark.createDataFrame([(w,) for w in found], "window string").where(secrets._share("rest", 4) != 0)
+    assert {r.window for r in kept.collect()} <= last  # all but the quarter that sets the threshold
+
+
+def test_rounds_of_several_files_learn_what_one_does(spark):
+    rng = random.Random(9)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, f"see {word('abcdefghijklmnop', 24) if i % 2 else 'secret=' + word('ABCDEFGHJK0123456789', 30)} here") for i in range(900)]
+    net = secrets.train(docs(spark, rows), rows_a_file=400)
+    texts = [f"see {word('abcdefghijklmnop', 24)} here" for _ in range(50)] + [f"see {word('ABCDEFGHJK0123456789', 30)} here" for _ in range(50)]
+    found = [bool(more) for _, more in secrets.scan(texts, net)]
+    assert sum(found[:50]) <= 10 and sum(found[50:]) >= 40
+    assert net.threshold == secrets.train(docs(spark, rows), rows_a_file=400).threshold
+
+
+def test_toxicity_is_learnt_from_all_labelled_rows(spark, monkeypatch):
+    rows = [(i, f"text number n{i} with a word or two") for i in range(9000)] + [(3, "text number n3 with a word or two")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(9000)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.TextNet, "fit", lambda self, rows, share: seen.append({r.doc_id for r in rows.select("doc_id").collect()}))
+    monkeypatch.setattr(toxicity.TextNet, "calibrate", lambda self, rows: seen.append({r.doc_id for r in rows.select("doc_id").collect()}))
+    toxicity.train(docs(spark, rows), labels)
+    assert not seen[0] & seen[1] and seen[0] | seen[1] == {i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
+def test_toxicity_in_rounds_of_several_files(spark):
+    rows, labels = labelled(spark, 900)
+    net = toxicity.train(docs(spark, rows), labels, texts_a_file=100)
+    again = toxicity.train(docs(spark, rows), labels, texts_a_file=100)
+    assert (net.tables == again.tables).all() and net.level == again.level
+    out = toxicity.toxicity(docs(spark, rows), net=net).where("held_out").collect()
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in out]) > 0.97
