@@ -70,3 +70,7 @@ def _lifted(path: str | None, value: dict, room: int) -> Iterator[tuple[str, obj
 def rewritten_json(texts: pd.Series) -> pd.Series:
     """Valid JSON written anew: of repeated keys the last one, objects below LEVELS lifted; null for anything else."""
     return texts.map(_rewrite, na_action="ignore").astype(object)
+
+
+# A filter on the result would otherwise be moved before the projection and parse every text a second time.
+rewritten_json = rewritten_json.asNondeterministic()

@@ -51,23 +51,41 @@ def json_object(raw: Column) -> Column:
     return _one(raw, TEXT_MAP)
 
 
-def json_text(raw: Column) -> Column:
-    """The text if it is exactly one JSON value, else null. Of repeated keys the last one is kept.
+#: What one JSON value can begin with; all else is settled without a parse.
+JSON_START = r'^[ \t\n\r]*([{\["0-9-]|(true|false|null)[ \t\n\r]*$)'
+
+
+def _odd(raw: Column) -> Column:
+    """The text if it may be JSON but the variant parser does not settle it, else null.
 
-    The variant parser settles nearly every line. It ignores text after a value, so the value is
-    wrapped in two ways, one of which trailing text always breaks; and it rejects repeated keys.
-    What it rejects, records deeper than LEVELS and the rare ones with the mark of lifted leaves in them are read once more
-    in Arrow batches, where deep leaves are lifted (other lines pass as null).
+    That parser ignores text after a value, so the value is wrapped in two ways, which only one value passes both; and it
+    rejects repeated keys.
     """
 
     def parses(before, after):
-        return F.try_parse_json(F.concat(F.lit(before), raw, F.lit(after)))
+        return F.try_parse_json(F.concat(F.lit(before), raw, F.lit(after))).isNotNull()
 
-    one = F.try_variant_get(parses("[", "]"), "$[1]", "variant").isNull()
-    some = F.try_variant_get(parses("[", "]"), "$[0]", "variant").isNotNull()
     unmarked = ~F.contains(raw, F.lit(MARK)) & ~F.contains(raw, F.lit("\\u0001"))
-    plain = F.coalesce(one & some & parses('{"v":', "}").isNotNull() & unmarked & is_shallow(raw), F.lit(False))
-    return F.when(plain, raw).otherwise(rewritten_json(F.when(~plain, raw)))
+    plain = unmarked & parses("[", "]") & parses('{"v":', "}") & is_shallow(raw)
+    return F.when(raw.rlike(JSON_START), F.when(~F.coalesce(plain, F.lit(False)), raw))
+
+
+def _settled(raw: Column, odd: Column) -> Column:
+    return F.when(odd.isNotNull(), rewritten_json(odd)).when(raw.rlike(JSON_START), raw)
+
+
+def json_text(raw: Column) -> Column:
+    """The text if it is exactly one JSON value, else null. Of repeated keys the last one is kept.
+
+    The variant parser settles nearly every line. What it rejects, records deeper than LEVELS and the rare ones with the
+    mark of lifted leaves in them are read once more in Arrow batches, where deep leaves are lifted (other lines pass as null).
+    """
+    return _settled(raw, _odd(raw))
+
+
+def with_json_text(lines: DataFrame, raw: str, out: str) -> DataFrame:
+    """The lines with ``json_text`` of a column, parsed once: a projection of its own keeps what both uses need."""
+    return lines.withColumn("_odd", _odd(F.col(raw))).withColumn(out, _settled(F.col(raw), F.col("_odd"))).drop("_odd")
 
 
 def is_shallow(raw: Column) -> Column:

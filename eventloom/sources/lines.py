@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators.normalize import is_json, json_text
+from ..operators.normalize import is_json, with_json_text
 from ..schema import SOURCE_TYPE
 
 WHITESPACE = " \t\r\n\f\x0b"
@@ -97,7 +97,7 @@ def _content(lines: DataFrame) -> DataFrame:
 
 def json_lines(lines: DataFrame) -> DataFrame:
     """The lines that hold one JSON value, without repeated keys."""
-    return _content(lines).withColumn("value", json_text(F.col("value"))).where("value is not null")
+    return with_json_text(_content(lines), "value", "value").where("value is not null")
 
 
 def json_records(lines: DataFrame, received_at: Column | None = None) -> DataFrame:
@@ -117,9 +117,9 @@ def syslog_records(
     wrapped = F.to_json(
         F.struct(F.lit("syslog").alias("event_type"), F.col("value").alias("raw"), F.lit(default_host).alias("host"))
     )
-    raw = F.coalesce(json_text(F.col("value")), wrapped)
     source = source_column("syslog", default_host, facility=SYSLOG_FACILITY)
-    return _records(lines.where(F.col("value") != ""), source, raw, received_at)
+    read = with_json_text(lines.where(F.col("value") != ""), "value", "_json")
+    return _records(read, source, F.coalesce(F.col("_json"), wrapped), received_at)
 
 
 def read_json_events(spark, paths, *, received_at: Column | None = None, **reading: bool) -> DataFrame:

@@ -353,3 +353,17 @@ def test_ids_do_not_depend_on_splits(spark, tmp_path):
         ids.append(sorted(r.event_id for r in normalize(raw).select("event_id").collect()))
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert ids[0] == ids[1] and len(set(ids[0])) == 3000
+
+
+def test_json_lines_are_read_once(spark):
+    from eventloom.sources.lines import json_lines, syslog_records
+
+    texts = ["click", "true", " null ", "nullx", "tru", "1 2", "-1", '{"a":1}', '{"a":1} x', '{"a":1,"a":2}', "[1],[2]", '"s"', "", "// x", "﻿{}", "NaN", "'a'", "\n[1]\r", "1}", '1,"k":2', '{"a":NaN}']
+    table = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "seq long, value string, file string")
+    want = {1: "true", 2: " null ", 6: "-1", 7: '{"a":1}', 9: '{"a":2}', 11: '"s"', 17: "\n[1]\r"}
+    out = json_lines(table)
+    assert {r.seq: r.value for r in out.collect()} == want
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    raw = syslog_records(table, "gw", F.current_timestamp()).collect()
+    assert {r.seq: r.raw for r in raw if r.seq in want} == want and len(raw) == len(texts) - 1
+    assert all(r.raw.startswith('{"event_type":"syslog"') for r in raw if r.seq not in want)
