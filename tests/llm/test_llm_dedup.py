@@ -167,3 +167,31 @@ def test_passages_of_lines_that_others_hold_singly(spark):
     rows = [(d, " ".join(own(d) + [w for s in lines for w in line(s)] + own(d + 50))) for d, lines in held.items()]
     found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
     assert {(r.doc_id, r.other_id, r.start_word, r.end_word, r.equal_words) for r in found} == {(4, 6, 20, 80, 60), (6, 4, 20, 80, 60)}
+
+
+@pytest.mark.parametrize("holders", [1, 30])
+def test_fuzzy_passages_whose_seeds_others_lead_are_found(spark, holders):
+    """Every seed of the passage that 500 and 501 share is held first and last by documents that hold nothing else of it."""
+    own = lambda d, n=60: [f"own{d}x{j}" for j in range(n)]
+    passage = [w for i in range(6) for w in [f"r{i}w{j}" for j in range(9)] + [f"gap{i}"]]
+    edited = [w.replace("gap", "other") for w in passage]
+    rows = [(500, " ".join(own(500) + passage + own(9500))), (501, " ".join(own(501) + edited + own(9501)))]
+    singles = [(side * 1000 + h * 10 + i, i) for side in (0, 1) for h in range(holders) for i in range(6)]
+    rows += [(d, " ".join(own(d) + [f"r{i}w{j}" for j in range(9)] + own(d + 20000))) for d, i in singles]
+    found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id, r.start_word, r.end_word, r.equal_words) for r in found} == {(500, 501, 60, 119, 54), (501, 500, 60, 119, 54)}
+
+
+def test_passage_around_one_common_line_is_found(spark):
+    """One seed that very many hold, and beyond it equal words that are no seed: on one diagonal, or a second common line on another."""
+    own = lambda d, n=60: [f"own{d}x{j}" for j in range(n)]
+    line, second = [f"line{j}" for j in range(8)], [f"second{j}" for j in range(20)]
+    tail = lambda s: [f"{s}{j}" if j % 7 == 0 else f"t{j}" for j in range(50)]
+    rows = [(700, " ".join(own(700) + line + tail("a") + own(9700))), (701, " ".join(own(701) + line + tail("b") + own(9701)))]
+    long_line = [f"long{j}" for j in range(19)]
+    rows += [(720, " ".join(own(720) + long_line + ["x"] + second + own(9720) + ["z"])), (721, " ".join(own(721) + long_line + ["y", "z"] + second + own(9721)))]
+    rows += [(d, " ".join(own(d) + long_line + own(d + 30000) + line + own(d + 20000) + second + own(d + 40000))) for d in (*range(100, 140), *range(1000, 1040))]
+    rows += [(740, " ".join(own(740) + line + tail("c") + own(9740))), (50, " ".join(own(50) + line + own(9050)))]
+    found = substring_dedup.repeated_passages(docs(spark, rows), least=40).collect()
+    pairs = {(r.doc_id, r.other_id) for r in found}
+    assert pairs == {(a, b) for group in ((700, 701, 740), (720, 721)) for a in group for b in group if a != b}
