@@ -51,6 +51,8 @@ COMMIT = (
     "summary map<string,struct<detections:bigint,score:bigint>>, last boolean"
 )
 MEASURES = ["_n", "_amount"]
+#: A file is one row group of one task at least, however many rows a batch has.
+ROWS_A_FILE = 50_000
 
 
 def _between(us: Column, after: int | None, to: int | None) -> Column:
@@ -104,7 +106,7 @@ class LiveDetection:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _write(self, frame: DataFrame, name: str, batch: int) -> None:
-        frame.write.mode("overwrite").parquet(self._path(name, batch))
+        frame.write.mode("overwrite").option("maxRecordsPerFile", ROWS_A_FILE).parquet(self._path(name, batch))
 
     def _committed(self) -> DataFrame:
         return self.spark.read.schema(COMMIT).json(self._path("commits"))

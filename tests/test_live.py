@@ -119,3 +119,13 @@ def test_a_stream_query_drives_it(spark, tmp_path):
     assert len(live.commits) == 4  # three batches and the end
     want = found(detect(project_events(table), small(["PS-LATERAL-001"]), 86_400))
     assert found(live.detections()) == want and want
+
+
+def test_a_batch_of_one_partition_is_kept_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("eventloom.streaming.live.ROWS_A_FILE", 20, raising=False)
+    events = project_events(spark.read.parquet(SAMPLE)).coalesce(1)
+    live = LiveDetection(spark, str(tmp_path / "state"), [r for r in builtin_rules() if r.rule_id == "PS-LATERAL-001"], WINDOW_SECS, delay_secs=86_400)
+    live.process(events, 0)
+    kept = spark.read.parquet(str(tmp_path / "state" / "arrived" / "batch=0"))
+    sizes = [r["count"] for r in kept.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 20
