@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventloom.llm.common import SPACES, lower_ascii, small_side, stored, text_or_empty, work_folder
+from eventloom.llm.common import SPACES, lower_ascii, released, shuffles_removed, small_side, stored, text_or_empty, work_folder
 
 
 def line_key(line: Column) -> Column:
@@ -42,11 +42,13 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         rows = rows.select("key", "n_docs", "last_doc")
-        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", work_folder(self.spark, name)).format("parquet").saveAsTable(name)
+        with shuffles_removed(self.spark):
+            rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", work_folder(self.spark, name)).format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
+            released(self.spark.table(name))
             self.spark.sql(f"DROP TABLE {name}")
 
     def add(self, lines: DataFrame) -> None:

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventloom.llm.common import batches_of_texts, components, shingle_hashes, small_side, stored, stored_counting, text_or_empty, word_hashes
+from eventloom.llm.common import batches_of_texts, components, released, shingle_hashes, small_side, stored, stored_counting, text_or_empty, word_hashes
 
 ORDERS = 3
 STAR_ROUNDS = 2
@@ -95,12 +95,15 @@ def _survivors(classes: DataFrame, num: int, den: int) -> DataFrame:
     extra = sets.join(first.where("rows > 1").select("cid", "first"), "cid").where(F.struct("doc_id", "at") != F.col("first"))
     extra, rows = stored_counting(extra.select(F.col("at").alias("beside")), "copies")
     heads = sets.join(small_side(extra, 16, rows), F.col("at") == F.col("beside"), "left_anti")
-    tokens = heads.select("cid", "n", F.explode("head").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token")
+    # Both uses below read the same two columns, so the tokens are shuffled once; numbers of rows stand for the classes.
+    tokens = heads.select("at", F.explode("head").alias("token")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("token")
+    met = stored(tokens.join(shared, "token").groupBy(F.col("at").alias("of")).count(), "met")
     n = F.col("n")
     need = F.least(_extra(n, share), _extra(_least(n, num, den), share))
-    met = tokens.join(shared, "token").groupBy("cid", "n").count()
-    return met.where(F.col("count") >= need).select("cid")
+    left = stored(met.join(classes.select("at", "cid", "n"), F.col("of") == F.col("at")).where(F.col("count") >= need).select("cid"), "survivors")
+    released(extra, met)
+    return left
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int, unnamed: bool) -> DataFrame:
@@ -134,8 +137,8 @@ def _ordered(sets: DataFrame, num: int, den: int) -> DataFrame:
     Tokens of no other class come first in every order; a class with so many that none of the others is among its first
     tokens has no link.
     """
-    tokens = sets.select("cid", F.explode("tokens").alias("token"))
-    frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    tokens = sets.select("cid", F.explode("tokens").alias("token")).repartition("token")
+    frequent = tokens.groupBy("token").agg(F.count("cid").alias("df")).where("df > 1")  # reads both columns, so that one shuffle serves both
     held = tokens.join(frequent, "token").groupBy("cid").agg(F.collect_list(F.struct("df", "token")).alias("held"))
     held = held.join(sets.select("cid", "n", *BITS), "cid")
     u = F.col("n") - F.size("held")
@@ -198,6 +201,7 @@ def _class_components(ordered: DataFrame, num: int, den: int) -> DataFrame:
             links = new if links is None else links.union(new)
             roots = components(links)
             labelled = roots.count()
+    released(tokens)
     return roots
 
 
@@ -210,9 +214,15 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10)
     table gives an empty result.
     """
     numbered = shingle_classes(docs, k, num, den).withColumn("at", F.monotonically_increasing_id())
-    classes, unnamed = stored_counting(numbered, "classes", F.col("doc_id").isNull() & (F.col("n") > 0))
-    ordered = _ordered(_whole_sets(docs, classes, _survivors(classes, num, den), k, unnamed > 0), num, den)
+    headed, unnamed = stored_counting(numbered, "heads", F.col("doc_id").isNull() & (F.col("n") > 0))
+    left = _survivors(headed, num, den)
+    classes = stored(headed.select("doc_id", "n", "cid"), "classes")
+    released(headed)
+    sets = _whole_sets(docs, classes, left, k, unnamed > 0)
+    ordered = _ordered(sets, num, den)
+    released(sets)
     roots = _class_components(ordered, num, den).withColumnRenamed("node", "cid")
+    released(ordered)
     rows = classes.select("doc_id", "n", "cid").join(small_side(roots, 16), "cid", "left")
     rows = rows.select("doc_id", "n", F.coalesce("root", "cid").alias("of"))
     groups = rows.where("n > 0").groupBy(F.col("of").alias("root")).agg(F.min("doc_id").alias("first_id"))

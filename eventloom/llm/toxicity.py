@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventloom.llm.common import FIXED, _OTHER, as_fixed, batches_of_texts, learning_set, lower_ascii, small_side, stored, summed, text_or_empty, word_hashes
+from eventloom.llm.common import FIXED, _OTHER, as_fixed, batches_of_texts, learning_set, lower_ascii, released, small_side, stored, summed, text_or_empty, word_hashes
 
 CUT = 0.7
 WIDTHS = (1, 2, 3)
@@ -292,15 +292,18 @@ def train(docs: DataFrame, labels: DataFrame, texts_a_file: int = 4096) -> TextN
     one = texts.groupBy("doc_id", "toxic").agg(F.min("digest").alias("digest")).groupBy("digest").agg(F.max(F.struct("doc_id", "toxic")).alias("of"))
     picked = stored(one.select("digest", "of.doc_id"), "picked")
     rows = learning_set(texts.join(small_side(picked, 64), ["doc_id", "digest"]), "digest", picked.count(), texts_a_file, "labelled")
+    released(picked)
     rest = F.pmod(F.xxhash64(F.lit("rest"), "digest"), F.lit(4)) == 0
     size = {(r["rest"], r["toxic"]): r["n"] for r in rows.groupBy(rest.alias("rest"), "toxic").agg(F.count_distinct("digest").alias("n")).collect()}
     if {toxic for _, toxic in size} != {0, 1}:
+        released(rows)
         return None
     learnt = rows.where(~rest) if any(not r for r, _ in size) else rows
     positive, negative = (sum(n for (r, y), n in size.items() if y == toxic and not r) for toxic in (1, 0))
     net = TextNet()
     net.fit(learnt, float(np.clip(positive / max(1, positive + negative), 0.01, 0.99)))
     net.calibrate(rows.where(rest))
+    released(rows)
     return net
 
 

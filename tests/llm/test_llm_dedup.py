@@ -1,12 +1,17 @@
+import glob
 import hashlib
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from llm_data import awkward, collected, docs, jaccard_components, line_result, words_of
+from pyspark.sql import functions as F
 
 from eventloom.llm import exact_dedup, line_dedup, ngram_join, substring_dedup
-from eventloom.llm.common import _OTHER, components, shingle_hashes, word_hashes
+from eventloom.llm.common import _OTHER, components, released, shingle_hashes, stored, word_hashes
+from eventloom.session import checkpoint_dir
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -97,6 +102,33 @@ def test_jaccard_components_equal_brute_force(spark, k, num, den):
     assert {r.doc_id for r in kept.collect()} == {i for i in rows if want[i] == i}
 
 
+def test_stored_tables_leave_no_shuffle_files_and_can_be_emptied(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffles = lambda: {f for d in local for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = shuffles()
+    table = stored(spark.range(1000).repartition(3, "id").withColumn("part", F.col("id") % 2), "made", "part")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert table.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    folder = table.inputFiles()[0].split("/part=")[0].removeprefix("file://")
+    released(table)
+    assert spark.read.parquet(folder).count() == 0
+
+
+def test_ngram_join_leaves_little_in_the_shared_folder(spark):
+    shared = checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: {f: os.path.getsize(f) for f in glob.glob(f"{shared}/**/*.parquet", recursive=True)}
+    base = words_of(6, 3000, 10**6)
+    rows = [(i, " ".join([f"edit{i}" if j % 500 == i else w for j, w in enumerate(base)])) for i in range(40)]
+    before = size()
+    out = ngram_join.similar_components(docs(spark, rows), 5, 8, 10)
+    assert sum(n for f, n in size().items() if f not in before) < 150_000  # the sets alone are 40 * 3,000 * 8 bytes
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: 0 for i in range(40)}
+
+
 def test_links_run_through_rows_without_identifier(spark):
     base = words_of(8, 150)
     steps = [" ".join([f"step{j}" if j < 9 * i else w for j, w in enumerate(base)]) for i in range(4)]
