@@ -129,6 +129,17 @@ def test_ngram_join_leaves_little_in_the_shared_folder(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == {i: 0 for i in range(40)}
 
 
+def test_passages_leave_no_matches_in_the_shared_folder(spark):
+    shared = checkpoint_dir(spark).removeprefix("file:")
+    held = lambda: set(glob.glob(f"{shared}/**/*.parquet", recursive=True))
+    before = held()
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(20)] + [f"p{j}" for j in range(70)])) for i in range(5)]
+    found = substring_dedup.repeated_passages(docs(spark, rows))
+    left = {name for name in ("matches", "seeds", "around", "pairs", "chains", "stretches", "words") for f in held() - before
+            if f"/{name}-" in f and spark.read.parquet(os.path.dirname(f)).count()}
+    assert not left and {d for r in found.collect() for d in (r.doc_id, r.other_id)} == set(range(5))
+
+
 def test_links_run_through_rows_without_identifier(spark):
     base = words_of(8, 150)
     steps = [" ".join([f"step{j}" if j < 9 * i else w for j, w in enumerate(base)]) for i in range(4)]
