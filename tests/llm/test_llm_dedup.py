@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_data import awkward, collected, docs, jaccard_components, line_result, words_of
 from pyspark.sql import functions as F
@@ -238,3 +239,44 @@ def test_passage_around_one_common_line_is_found(spark):
     found = substring_dedup.repeated_passages(docs(spark, rows), least=40).collect()
     pairs = {(r.doc_id, r.other_id) for r in found}
     assert pairs == {(a, b) for group in ((700, 701, 740), (720, 721)) for a in group for b in group if a != b}
+
+
+def test_open_pairs_of_repeated_lines_leave_few_chains(spark, monkeypatch):
+    """Forty documents repeat one line of 25 words: every two are open, and every repeat meets the other's first on a diagonal of its own."""
+    own = lambda d, i: [f"own{d}x{i}x{j}" for j in range(300 + (7 * d + 31 * i) % 41)]
+    line = [f"l{j}" for j in range(25)]
+    rows = [(d, " ".join(w for i in range(6) for w in own(d, i) + line)) for d in range(40)]
+    edited = [w if j % 6 else f"e{j}" for j, w in enumerate(f"p{j}" for j in range(60))]
+    rows += [(50, " ".join(own(50, 0) + line + [f"p{j}" for j in range(60)])), (51, " ".join(own(51, 0) + line + edited)), (60, " ".join(own(60, 0) + line + own(60, 1)))]
+    stored, chains = substring_dedup.stored, []
+
+    def counted(df, name, *partition_by):
+        out = stored(df, name, *partition_by)
+        chains.extend([out.count()] if name == "chains" else [])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", counted)
+    found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(50, 51), (51, 50)}
+    assert chains[1] < 2 * 43 * 42 / 2
+
+
+def test_narrow_words_never_count_fewer_equal_ones():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        texts = [rng.integers(0, 3, n).astype(np.uint8) for n in rng.integers(60, 300, 3)]
+        at = np.unique(rng.integers(0, 50, 9))
+        m = np.sort(np.concatenate([(at << 32) + at, (at << 32) + at[::-1]]))
+        m = np.unique(m)
+        lines = substring_dedup._Diagonals(np.arange(3), pd.Series([t.tobytes() for t in texts]))
+        a, b = texts[0], texts[2]
+        for fewest in (30, 40, 60):
+            side, lies, unknown = lines.passing(np.array([0]), np.array([2]), np.zeros(len(m), dtype=np.int64), m, fewest)
+            assert not unknown[0] and set(side.tolist()) <= {0}
+            for d in {int((v & 0xFFFFFFFF) - (v >> 32)) for v in m}:
+                x = np.array([v >> 32 for v in m if (v & 0xFFFFFFFF) - (v >> 32) == d])
+                places = np.arange(max(0, x.min() - 50, -d), min(x.max() + 58, len(a), len(b) - d))
+                equal = a[places] == b[places + d]
+                for v in x:  # a seed's words are equal
+                    equal[(places >= v) & (places < v + 8)] = True
+                assert equal.sum() < fewest or d in lies.tolist()
