@@ -226,6 +226,33 @@ def test_fuzzy_passages_whose_seeds_others_lead_are_found(spark, holders):
     assert {(r.doc_id, r.other_id, r.start_word, r.end_word, r.equal_words) for r in found} == {(500, 501, 60, 119, 54), (501, 500, 60, 119, 54)}
 
 
+@pytest.mark.parametrize("holders", [1, 30])
+def test_passages_of_one_component_whose_seeds_others_lead_are_found(spark, holders):
+    """As before, but 500 and 501 share another passage too, which makes them one component and tells nothing of this one; nor
+    do short texts that hold a seed first."""
+    own = lambda d, n=60: [f"own{d}x{j}" for j in range(n)]
+    passage = [w for i in range(6) for w in [f"r{i}w{j}" for j in range(9)] + [f"gap{i}"]]
+    edited = [w.replace("gap", "other") for w in passage]
+    whole = [f"q{j}" for j in range(60)]
+    rows = [(500, " ".join(own(500) + passage + own(9500) + whole)), (501, " ".join(own(501) + edited + own(9501) + whole))]
+    singles = [(side * 1000 + h * 10 + i, i) for side in (0, 1) for h in range(holders) for i in range(6)]
+    rows += [(d, " ".join(own(d, 20) + [f"r{i}w{j}" for j in range(9)])) for d, i in singles]
+    found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    got = {(r.doc_id, r.other_id, r.start_word, r.end_word, r.equal_words) for r in found}
+    assert got == {(a, b, *p) for a, b in ((500, 501), (501, 500)) for p in ((60, 119, 54), (180, 240, 60))}
+
+
+def test_passages_that_leaders_tell_open_no_pairs(spark, monkeypatch):
+    """Sixty documents hold one passage: each is told by the first and the last, so that no two others are compared again."""
+    own = lambda d, n=60: [f"own{d}x{j}" for j in range(n)]
+    rows = [(d, " ".join(own(d) + [f"p{j}" for j in range(70)] + own(d + 1000))) for d in range(60)]
+    made = {}
+    counting = substring_dedup.stored_counting
+    monkeypatch.setattr(substring_dedup, "stored_counting", lambda df, name: made.setdefault(name, counting(df, name)))
+    found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
+    assert {d for r in found for d in (r.doc_id, r.other_id)} == set(range(60)) and made["pairs"][1] == 0
+
+
 def test_passage_around_one_common_line_is_found(spark):
     """One seed that very many hold, and beyond it equal words that are no seed: on one diagonal, or a second common line on another."""
     own = lambda d, n=60: [f"own{d}x{j}" for j in range(n)]
