@@ -3,6 +3,7 @@ import hashlib
 import os
 import random
 import time
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -288,6 +289,64 @@ def test_open_pairs_of_repeated_lines_leave_few_chains(spark, monkeypatch):
     assert chains[1] < 2 * 43 * 42 / 2
 
 
+def test_seeds_leave_in_turns_and_pack_well():
+    rng = np.random.default_rng(8)
+    hashes, docs, at = rng.integers(0, 1 << 63, 200_000).astype(np.uint64), np.repeat(np.arange(400), 500), np.tile(np.arange(500) * 2 + 1, 400)
+    turns = [substring_dedup.packed(hashes, docs, at, turn, substring_dedup.TURNS) for turn in range(substring_dedup.TURNS)]
+    assert max(sum(len(zlib.compress(r, 1)) for r in t["rows"]) for t in turns) < 12 * len(hashes) / substring_dedup.TURNS * 1.1
+    rows = np.concatenate([substring_dedup.from_planes(t["rows"], substring_dedup._SEED) for t in turns])
+    assert sorted(rows.tolist()) == sorted(zip(hashes.tolist(), docs.tolist(), at.tolist()))
+    assert not {*turns[0]["part"]} & {*turns[1]["part"]}
+
+
+def test_surroundings_in_turns_are_those_of_one():
+    rng = np.random.default_rng(9)
+    words = substring_dedup.mixed(rng.integers(0, 30, 700).astype(np.uint64))
+    told, places = substring_dedup._Told(700, np.array([(5 << 32) + (90 << 1) + 1, (60 << 32) + (400 << 1)])), np.flatnonzero(rng.random(693) < 0.3)
+    whole = sorted(zip(*(c.tolist() for c in substring_dedup.around(words, places, told))))
+    parts = [zip(*(c.tolist() for c in substring_dedup.around(words, places, told, turn, 3))) for turn in range(3)]
+    assert sorted(row for p in parts for row in p) == whole
+    assert told.of(np.array([5, 4, 60, 80, 390]), np.array([90, 90, 90, 400, 401])).tolist() == [3, 0, 3, 1, 0]
+
+
+def test_common_subsequences_equal_brute_force():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        a, b = (rng.integers(0, 5, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        row = np.zeros(len(b) + 1, dtype=np.int64)
+        for w in a:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == w)))
+        assert substring_dedup._gap_equal(a, b) == (int((a == b).sum()) if len(a) == len(b) else int(row[-1]))
+
+
+def test_no_chain_with_a_passage_is_left_out_by_two_bytes_of_its_words():
+    rng, rows = np.random.default_rng(3), []
+    for _ in range(1500):
+        a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in rng.integers(60, 260, 2))
+        n = min(int(rng.integers(8, 90)), len(a) - 8, len(b) - 8)
+        x, y = int(rng.integers(0, len(a) - n)), int(rng.integers(0, len(b) - n))
+        b[y : y + n] = np.where(rng.random(n) < rng.random() * 0.25, b[y : y + n], a[x : x + n])
+        if rng.random() < 0.3:
+            b = np.insert(b, y + n // 2, rng.integers(0, 1 << 63, 3).astype(np.uint64))
+        of = {h: i for i, h in enumerate(substring_dedup.kmer_hashes(a).tolist())}
+        m = np.sort(np.array([(of[h] << 32) + j for j, h in enumerate(substring_dedup.kmer_hashes(b).tolist()) if h in of], dtype=np.int64))
+        rows += [(a, b, c) for c in (substring_dedup.chains_of(m) if len(m) else [])]
+    narrow = [pd.Series([(r[i] >> np.uint64(48)).astype(np.uint16).tobytes() for r in rows]) for i in (0, 1)]
+    keep = substring_dedup.enough_equal(*narrow, pd.Series([np.array(c).astype(np.uint32).tobytes() for _, _, c in rows]), 50, 0.8)
+    holds = np.array([bool([*substring_dedup.passages(*r, 50, 0.8)] or [*substring_dedup.stretched(*r, 50, 0.8)]) for r in rows])
+    assert holds.sum() > 300 and not (holds & ~keep).any() and keep.mean() < 0.7
+
+
+def test_pairs_without_passing_diagonals_keep_chains_that_turn():
+    """What _turning leaves out has chains on one diagonal only."""
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        runs = [(x + np.arange(n) << 32) + y + np.arange(n) for x, y, n in zip(rng.integers(0, 400, 4), rng.integers(0, 400, 4), rng.integers(1, 20, 4))]
+        m = np.unique(np.concatenate(runs[: rng.integers(1, 5)]))
+        turns = any(len({y - x for x, y in c}) > 1 for c in substring_dedup.chains_of(m))
+        assert substring_dedup._turning(np.zeros(len(m), dtype=np.int64), m, 1)[0] or not turns
+
+
 def test_narrow_words_never_count_fewer_equal_ones():
     rng = np.random.default_rng(5)
     for _ in range(30):
