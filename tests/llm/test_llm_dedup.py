@@ -249,7 +249,7 @@ def test_passages_that_leaders_tell_open_no_pairs(spark, monkeypatch):
     rows = [(d, " ".join(own(d) + [f"p{j}" for j in range(70)] + own(d + 1000))) for d in range(60)]
     made = {}
     counting = substring_dedup.stored_counting
-    monkeypatch.setattr(substring_dedup, "stored_counting", lambda df, name: made.setdefault(name, counting(df, name)))
+    monkeypatch.setattr(substring_dedup, "stored_counting", lambda df, name, *more: made.setdefault(name, counting(df, name, *more)))
     found = substring_dedup.repeated_passages(docs(spark, rows)).collect()
     assert {d for r in found for d in (r.doc_id, r.other_id)} == set(range(60)) and made["pairs"][1] == 0
 
